@@ -28,7 +28,7 @@ from citeforge.llm.common import is_training
 HIDDEN, WINDOW = 12, 64
 SAMPLE_PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 400, 6
 MAX_LANGUAGES = 64
-EPOCHS, BATCH, RATE, SEED = 4, 128, 0.01, 7
+EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 4, 200, 128, 0.01, 7
 #: Windows that one step of the recurrence handles at once.
 BLOCK = 2048
 UNKNOWN = "und"
@@ -116,10 +116,12 @@ class ByteGru:
         return loss, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> list[float]:
-        """Adam over shuffled batches of windows x [n, length] (0 pads) with language numbers y."""
+        """Adam over shuffled batches of windows x [n, length] (0 pads) with language numbers y; at least MIN_STEPS."""
         rng = np.random.default_rng(seed)
         m, v, steps, losses = {k: np.zeros_like(a) for k, a in self.w.items()}, {k: np.zeros_like(a) for k, a in self.w.items()}, 0, []
-        for epoch in range(epochs):
+        each = -(-len(x) // batch)
+        epochs = max(epochs, -(-MIN_STEPS // each))
+        for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 pick = order[at : at + batch]
@@ -131,7 +133,7 @@ class ByteGru:
                     a *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
                     m[k] = 0.9 * m[k] + 0.1 * a
                     v[k] = 0.99 * v[k] + 0.01 * a * a
-                    lr = rate * (0.5**epoch)
+                    lr = rate * 0.1 ** (steps / (epochs * each))
                     self.w[k] -= (lr * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
                 losses.append(loss)
         return losses

@@ -101,7 +101,8 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
                 raw = t.encode()
                 both = np.concatenate(histograms(raw, raw.split()))
                 found[code] = found[code] + both if code in found else both
-        yield pd.DataFrame({"lang": list(found), "bins": [v.tolist() for v in found.values()]}, columns=["lang", "bins"])
+        if found:
+            yield pd.DataFrame({"lang": list(found), "bins": [v.tolist() for v in found.values()]})
 
     named = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     by_bin = named.mapInPandas(sums, "lang string, bins array<long>").select("lang", F.posexplode("bins").alias("bin", "n"))
