@@ -72,7 +72,11 @@ def prepared(templates=TEMPLATES) -> list[dict]:
 
 def _signature(shingles: Column) -> Column:
     """BANDS minima, each under its own hash."""
-    return F.array(*[F.array_min(F.transform(shingles, lambda s, b=b: F.xxhash64(F.lit(b), s))) for b in range(BANDS)])
+
+    def least(band: int) -> Column:  # a second lambda parameter would be the element's place
+        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(band), s)))
+
+    return F.array(*map(least, range(BANDS)))
 
 
 def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> DataFrame:
