@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are separated by these characters only (ASCII white space).
@@ -29,13 +29,15 @@ class Durable:
     """A DataFrame written once to the shared folder and read back, so that no later action recomputes it.
 
     Unlike DataFrame.checkpoint() the plan runs once, and the copy is columnar. `drop()` removes the files
-    when nothing that is still to run reads them.
+    when nothing that is still to run reads them. `rows` (of those where `counted` holds) is counted by the write.
     """
 
-    def __init__(self, df: DataFrame, name: str = "t"):
+    def __init__(self, df: DataFrame, name: str = "t", counted: Column | None = None):
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1) if counted is None else F.when(counted, 1)).alias("n")).write.parquet(self.path)
+        self.rows = seen.get.get("n", 0)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

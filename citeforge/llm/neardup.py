@@ -9,12 +9,15 @@ candidates, and a pair of similarity s shares one with probability 1 - (1 - s^ro
 threshold with the settings here).
 
 Links are confirmed on the full sets. Not all pairs of a bucket are listed: equal sets are first reduced to one
-representative; each bucket then compares its members with one of them (a star), and the components of the
-confirmed links are found by minimum labels. Only buckets that still hold several components go on. Among their
+representative; each bucket then compares its members with its most central one (that which shares most of its
+buckets), and the components of the confirmed links are found by minimum labels. Only buckets that still hold several components go on. Among their
 documents, shingles that occur in one document only are counted; a document whose other shingles are too few to
-reach the threshold cannot link and leaves. The rest compare with the member of the bucket that has the fewest such
-shingles, which then leaves too, and when the pairs still open are no more than `open_per_row` for each document
-they are all compared. So no link that shares a band is lost, whatever the size of a bucket.
+reach the threshold leaves. The sketches of the others are compared, where they are of different components, in
+blocks of about `BLOCK` rows, so that a bucket of any size is dealt over tasks and only alike pairs are written; these
+are confirmed. So no link that shares a band is lost, whatever the size of a bucket.
+
+Before its texts are read, a pair must agree in `least_agreement` of the coordinates (one byte of each is kept): by
+the concentration bound a pair at the threshold has fewer with a chance below 1e-7.
 
 Cases: documents without words or text have an empty set and link with nothing; rows that share a doc_id are one
 node (its component is linked by any of its texts), each keeping its n_shingles; rows with a null doc_id take no
@@ -23,6 +26,7 @@ part: component_id is null and kept true; very long texts are hashed whole; an e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,12 @@ from citeforge.llm.common import Durable
 WIDTH, PERCENT = 5, 80
 #: (bands, rows): a pair at the threshold shares a band with probability above 1 - 1e-6.
 BANDING = {80: (27, 4), 85: (24, 5)}
-OPEN_PER_ROW, STAR_ROUNDS = 4, 6
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 2048
+#: Shingle sets that a worker keeps while it confirms pairs.
+KEPT_SETS = 4096
+#: Node ids that may be broadcast to pick texts; more are joined by shuffle.
+BROADCAST_NODES = 500_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -94,6 +103,27 @@ def sketch(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out.reshape(n, bins)
 
 
+def least_agreement(percent: int, bins: int, miss: float = 1e-7) -> int:
+    """The largest number of coordinates below which Binomial(bins, percent / 100) falls with at most chance `miss`."""
+    p, below, k = percent / 100, 0.0, 0
+    while True:
+        below += math.comb(bins, k) * p**k * (1 - p) ** (bins - k)
+        if below > miss:
+            return k
+        k += 1
+
+
+def _agree(least: int):
+    @F.pandas_udf("boolean")
+    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+        return pd.Series((x == y).sum(axis=1) >= least)
+
+    return agree
+
+
 def _prepare(width: int, bands: int, rows: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,34 +131,89 @@ def _prepare(width: int, bands: int, rows: int):
                 part = batch.iloc[at : at + 512]
                 sets = [shingles(t, width) for t in part["text"]]
                 some = [k for k, s in enumerate(sets) if len(s)]
-                keys: list = [None] * len(part)
+                keys, mini = [None] * len(part), [None] * len(part)
                 if some:
-                    found = sketch([sets[k] for k in some], bands * rows).reshape(len(some), bands, rows)
-                    key = np.zeros((len(some), bands), np.uint64)
+                    found = sketch([sets[k] for k in some], bands * rows)
+                    for k, row in zip(some, _mix(found).astype(np.uint8)):
+                        mini[k] = row.tobytes()
+                    found = found.reshape(len(some), bands, rows)
+                    key = np.tile(np.arange(bands, dtype=np.uint64), (len(some), 1))
                     for r in range(rows):
                         key = _mix((key + _M1) * _M3 + found[:, :, r])
                     for k, row in zip(some, key.view(np.int64)):
                         keys[k] = row
                 two = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": [len(s) for s in sets], "s1": [int(t[0]) for t in two], "s2": [int(t[1]) for t in two], "keys": keys})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": [len(s) for s in sets], "s1": [int(t[0]) for t in two], "s2": [int(t[1]) for t in two], "keys": keys, "mini": mini})
 
     return of
 
 
 def _verify(width: int, percent: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_text, last_set = None, None
+        kept: dict[str, np.ndarray] = {}
+
+        def held(text: str) -> np.ndarray:
+            if text not in kept:
+                if len(kept) >= KEPT_SETS:
+                    del kept[next(iter(kept))]
+                kept[text] = shingles(text, width)
+            return kept[text]
+
         for batch in batches:
-            hit = []
-            for ta, tb in zip(batch["text_a"], batch["text_b"]):
-                if tb != last_text:  # rows of one hub stand together
-                    last_text, last_set = tb, shingles(tb, width)
-                hit.append(linked(shingles(ta, width), last_set, percent))
+            hit = [linked(held(ta), held(tb), percent) for ta, tb in zip(batch["text_a"], batch["text_b"])]
             yield batch.loc[hit, ["a", "b"]]
 
     return of
 
 
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that are sorted by their keys."""
+    rest = None
+    for batch in batches:
+        if rest is not None:
+            batch = pd.concat([rest, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        k = batch[keys].to_numpy()
+        cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        edges = [0, *cut.tolist()]
+        for x, y in zip(edges, edges[1:]):
+            yield batch.iloc[x:y]
+        rest = batch.iloc[edges[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _alike(least: int, percent: int):
+    """Pairs of a bucket's block with another that may link: other components, near sizes, alike sketches."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["key", "low", "high"]):
+            low, high, own = int(group["low"].iloc[0]), int(group["high"].iloc[0]), group["own"].to_numpy()
+            node, label, n, shared = (group[c].to_numpy() for c in ("node", "label", "n", "shared"))
+            mini = np.frombuffer(b"".join(group["mini"]), np.uint8).reshape(len(group), -1)
+            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            step = max(1, (8 << 20) // max(1, len(right) * mini.shape[1]))
+            for at in range(0, len(left), step):
+                i, j = left[at : at + step, None], right[None]
+                most = np.minimum(shared[i], shared[j])  # of common shingles
+                may = (label[i] != label[j]) & (100 * most >= percent * (n[i] + n[j] - most))
+                if low == high:
+                    may &= node[i] < node[j]
+                if not may.any():
+                    continue
+                x, y = np.nonzero(may)
+                if 4 * len(x) < may.size:
+                    good = (mini[i[x, 0]] == mini[j[0, y]]).sum(axis=1) >= least
+                    x, y = x[good], y[good]
+                else:
+                    x, y = np.nonzero(may & ((mini[i[:, 0], None] == mini[j[0]][None]).sum(axis=2) >= least))
+                if len(x):
+                    yield pd.DataFrame({"a": node[i[x, 0]], "b": node[j[0, y]]})
+
+    return of
+
+
 def _single(width: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,35 +226,38 @@ def _single(width: int):
 class NearDuplicates:
     """One run over a table of documents; `result` is the whole answer."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, banding: tuple[int, int] | None = None, open_per_row: int = OPEN_PER_ROW, star_rounds: int = STAR_ROUNDS):
+    def __init__(self, docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, banding: tuple[int, int] | None = None, block: int = BLOCK):
         self.width, self.percent = width, percent
         self.bands, self.rows = banding or BANDING[percent]
-        self.open_per_row, self.star_rounds = open_per_row, star_rounds
+        self.block = block
+        self.least = least_agreement(percent, self.bands * self.rows)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.kept: list[Durable] = []
 
-    def _hold(self, df: DataFrame, name: str) -> DataFrame:
-        self.kept.append(Durable(df, name))
+    def _hold(self, df: DataFrame, name: str, counted=None) -> DataFrame:
+        self.kept.append(Durable(df, name, counted))
+        self.rows_held = self.kept[-1].rows
         return self.kept[-1].df
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of every row."""
-        rows = self._hold(self.docs.mapInPandas(_prepare(self.width, self.bands, self.rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "sets")
+        rows = self._hold(self.docs.mapInPandas(_prepare(self.width, self.bands, self.rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, mini binary"), "sets")
         live = rows.where("doc_id is not null and n_shingles > 0")
         first = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
         of_doc = self._hold(live.select("doc_id", "n_shingles", "s1", "s2").join(first, ["s1", "s2"]).select("doc_id", "node", "n_shingles", "s1", "s2"), "nodes")
-        sizes = of_doc.groupBy("node").agg(F.max("n_shingles").alias("n"))
         # a node's own row; rows of other texts under its id are other nodes' members
-        own = live.join(first.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"], "left_semi")
-        members = own.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("band", "key"))
-        hubs = members.groupBy("band", "key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
-        met = self._hold(members.join(hubs, ["band", "key"]), "buckets")  # only buckets of two or more
-
-        edges = self._hold(self._confirm(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "edges")
+        own = self._hold(live.join(first.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "mini"), "own")
+        self.own = own.select("node", "n", "mini")
+        members = own.select("node", F.explode("keys").alias("key"))  # a key's hash holds its band
+        shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("key")
+        met = self._hold(members.join(shared, "key", "left_semi"), "buckets")  # only buckets of two or more
+        central = met.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        hubs = met.join(central, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("h")).select("key", (-F.col("h.node")).alias("hub"))
+        edges = self._confirm(met.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
         # documents whose rows have several sets tie these together
         several = of_doc.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
         label = self._components(edges.unionAll(several))
-        label = self._rest(met.select("node", "band", "key"), sizes, label)
+        label = self._rest(met, label)
 
         named = of_doc.join(label, "node", "left").select("doc_id", "s1", "s2", F.coalesce("label", "node").alias("component"))
         named = named.groupBy("doc_id").agg(F.min("component").alias("component_id"))
@@ -178,80 +266,75 @@ class NearDuplicates:
         out = full.unionAll(empty.join(named.withColumnRenamed("component_id", "c"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "component_id").alias("component_id")))
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
+    def _texts(self, nodes: DataFrame, n: int) -> DataFrame:
+        """node, text of some nodes; the ids go to the texts while they are few."""
+        docs = self.docs.where("text is not null").withColumnRenamed("doc_id", "node")
+        return docs.join(F.broadcast(nodes) if n <= BROADCAST_NODES else nodes, "node", "left_semi")
+
     def _confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose full sets reach the threshold."""
-        a = self.docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).where("text_a is not null")
-        b = self.docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).where("text_b is not null")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return both.mapInPandas(_verify(self.width, self.percent), "a long, b long").distinct()
+        a, b = (self.own.select(F.col("node").alias(c), F.col("mini").alias(f"mini_{c}")) for c in "ab")
+        both = pairs.distinct().join(a, "a").join(b, "b")
+        return self._exact(self._hold(both.where(_agree(self.least)(F.col("mini_a"), F.col("mini_b"))).select("a", "b"), "likely"))
+
+    def _exact(self, likely: DataFrame) -> DataFrame:
+        if not self.rows_held:
+            return likely
+        nodes = self._hold(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+        texts = self._texts(nodes, self.rows_held)
+        a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        both = likely.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        return self._hold(both.mapInPandas(_verify(self.width, self.percent), "a long, b long").distinct(), "edges")
+
+    def _shared(self, nodes: DataFrame, n: int) -> DataFrame:
+        """node, shared: the number of its shingles that occur in several of these nodes, where it may reach the threshold."""
+        seen = self._texts(nodes, n).mapInPandas(_single(self.width), "node long, h long")
+        alone = seen.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        size = self.own.groupBy("node").agg(F.max("n").alias("n"))
+        out = nodes.join(size, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        return self._hold(out.where(100 * F.col("shared") >= self.percent * F.col("n")).select("node", "shared"), "shared")
 
     def _components(self, edges: DataFrame, label: DataFrame | None = None) -> DataFrame:
         """node, label (the least node reachable); nodes without a link may be missing."""
         if label is not None:  # earlier components are single nodes now
             x, y = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-            edges = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+            edges = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
         both = self._hold(both.distinct(), "links")
-        now = self._hold(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-        while True:
+        now = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label")
+        changed = self.rows_held
+        while changed:
             seen = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("seen"))
             low = now.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
             jump = now.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            new = self._hold(low.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-            changed = new.where("was <> label").limit(1).count()
-            now = new.select("node", "label")
-            if not changed:
-                break
+            now = self._hold(low.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels", F.col("was") != F.col("label")).select("node", "label")
+            changed = self.rows_held
         if label is None:
             return now
         moved = label.join(now.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
         fresh = now.join(label.select("node"), "node", "left_anti")
         return self._hold(moved.unionAll(fresh).distinct(), "labels")
 
-    def _mixed(self, members: DataFrame, label: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one component, with it."""
-        named = members.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        many = named.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "key")
-        return named.join(many, ["band", "key"], "left_semi")
-
-    def _rest(self, members: DataFrame, sizes: DataFrame, label: DataFrame) -> DataFrame:
-        mixed = self._hold(self._mixed(members, label), "mixed")
-        nodes = mixed.select("node").distinct()
-        if not mixed.limit(1).count():
+    def _rest(self, met: DataFrame, label: DataFrame) -> DataFrame:
+        """Links between the components that a bucket still holds."""
+        named = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = self._hold(self._mixed(named), "mixed")
+        if not self.rows_held:
             return label
-        texts = self.docs.where("text is not null").join(nodes, self.docs["doc_id"] == nodes["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-        seen = texts.mapInPandas(_single(self.width), "node long, h long")
-        alone = seen.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-        # shared shingles of a node; an intersection has no more, and a union no fewer than the larger set
-        able = nodes.join(sizes, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-        able = self._hold(able.where(100 * F.col("shared") >= self.percent * F.col("n")), "able")
-        live = self._hold(self._mixed(mixed.select("node", "band", "key").join(able, "node"), label), "open")
-        for _ in range(self.star_rounds):
-            by_label = live.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c"))
-            by_bucket = by_label.groupBy("band", "key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            todo = by_bucket.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()["pairs"] or 0
-            if not todo:
-                return label
-            if todo <= self.open_per_row * sizes.count():
-                break
-            # the member with the fewest shingles of its own: (share, node) in one long, so that sums stay hashed
-            own = (F.col("n") - F.col("shared")) * 1000000 / F.col("n")
-            rank = F.struct(own.cast("long").alias("own"), F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared"))
-            hub = live.groupBy("band", "key").agg(F.min(rank).alias("h")).select("band", "key", "h.hub", "h.hub_label", "h.hub_n", "h.hub_shared")
-            star = self._hold(live.join(hub, ["band", "key"]), "star")
-            pairs = star.where((F.col("node") != F.col("hub")) & (F.col("label") != F.col("hub_label")) & self._possible("n", "shared", "hub_n", "hub_shared"))
-            edges = self._hold(self._confirm(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "edges")
-            label = self._components(edges, label)
-            live = self._hold(self._mixed(star.where("node <> hub").select("node", "band", "key", "n", "shared"), label), "open")
-        x, y = live, live.select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"))
-        met = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & self._possible("n", "shared", "other_n", "other_shared"))
-        edges = self._hold(self._confirm(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()), "edges")
-        return self._components(edges, label)
-
-    def _possible(self, n: str, shared: str, m: str, other: str):
-        """Whether sets of these sizes can reach the threshold with at most these many common shingles."""
-        most = F.least(F.col(shared), F.col(other))
-        return 100 * most >= self.percent * (F.col(n) + F.col(m) - most)
+        nodes = self._hold(mixed.select("node").distinct(), "mixed-nodes")
+        able = mixed.join(self._shared(nodes, self.rows_held), "node")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        able = self._mixed(able.drop("blocks")).withColumn("own", own).join(self.own, "node")
+        dealt = able.select("key", "node", "label", "n", "shared", "mini", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
+        sorted_ = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        likely = self._hold(sorted_.mapInPandas(_alike(self.least, self.percent), "a long, b long").distinct(), "likely")
+        return self._components(self._exact(likely), label)
+
+    def _mixed(self, named: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one component, with the number of blocks of these."""
+        many = named.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+        return named.join(many.select("key", F.ceil(F.col("c") / self.block).cast("int").alias("blocks")), "key")
 
 
 def link(docs: DataFrame, **options) -> DataFrame:
