@@ -7,29 +7,37 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 
 def block_share(q: str, p: str) -> float:
-    """Share of q's characters in matching blocks of four or more."""
-    if not q:
+    """Share of q's characters in matching blocks of four or more; 0 where it cannot reach 0.9."""
+    if not q or len(p) < 0.9 * len(q):
         return 0.0
-    if len(p) < 0.9 * len(q):  # cannot reach the threshold; the exact share does not matter
+    # every matched block of four or more is made of runs of four that p holds
+    held = {p[k : k + 4] for k in range(len(p) - 3)}
+    covered = end = 0
+    for k in range(len(q) - 3):
+        if q[k : k + 4] in held:
+            covered += k + 4 - max(k, end)
+            end = k + 4
+    if covered < 0.9 * len(q):
         return 0.0
     blocks = SequenceMatcher(None, q, p, autojunk=False).get_matching_blocks()
     return sum(b.size for b in blocks if b.size >= 4) / len(q)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def aligned_share(quote: pd.Series, passage: pd.Series) -> pd.Series:
     return pd.Series([block_share(q or "", p or "") for q, p in zip(quote, passage)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """ASCII letters without accents, lower case."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
@@ -38,7 +46,7 @@ def fold(text: pd.Series) -> pd.Series:
 _ACCENT = {"´": "́", "˝": "̋", "¨": "̈", "ˆ": "̂", "˜": "̃", "ˇ": "̌"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose_accents(text: pd.Series) -> pd.Series:
     """Spacing accents between letters join the small letter after them."""
     import re
@@ -47,7 +55,7 @@ def compose_accents(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", pattern.sub(lambda m: m[2] + _ACCENT[m[1]], s)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hashed_embedding(text: pd.Series) -> pd.Series:
     """A deterministic stand-in for an encoder: hashed character trigrams in 64 places, length 1."""
     import zlib
@@ -62,3 +70,52 @@ def hashed_embedding(text: pd.Series) -> pd.Series:
         return (v / max(1e-12, np.linalg.norm(v))).tolist()
 
     return text.map(one)
+
+
+def greedy_chunks(limit: int):
+    """A UDF from a document's ordered paragraph sizes, and whether each begins a new path, to chunk numbers."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def pack(tokens: pd.Series, fresh: pd.Series) -> pd.Series:
+        def one(sizes, starts):
+            out, no, held = [], -1, 0
+            for t, new in zip(sizes, starts):
+                if no < 0 or new or held + t > limit and held > 0:
+                    no, held = no + 1, 0
+                held += t
+                out.append(no)
+            return out
+
+        return pd.Series([one(a, b) for a, b in zip(tokens, fresh)], dtype=object)
+
+    return pack
+
+
+def sliding_windows(size: int, overlap: int):
+    """A UDF from a document's ordered paragraph sizes to windows [begin, end) as alternating numbers.
+
+    A window takes paragraphs until it has `size`; the next begins where at least `overlap` is left, and always later.
+    """
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def windows(tokens: pd.Series) -> pd.Series:
+        def one(sizes):
+            out, begin, n = [], 0, len(sizes)
+            while n:
+                end, held = begin, 0
+                while end < n and (held < size or end == begin):
+                    held += sizes[end]
+                    end += 1
+                out += [begin, end]
+                if end >= n:
+                    return out
+                back, kept = end, 0
+                while back > begin + 1 and kept < overlap:
+                    back -= 1
+                    kept += sizes[back]
+                begin = back if kept >= overlap else begin + 1
+            return out
+
+        return pd.Series([one(a) for a in tokens], dtype=object)
+
+    return windows

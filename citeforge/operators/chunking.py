@@ -1,7 +1,7 @@
 """Paragraphs to chunks: section-aware packing and fixed sliding windows.
 
-Packing is sequential inside a document, so it folds over the document's ordered paragraphs (one array a document);
-documents are independent and spread over the cluster.
+Packing is sequential inside a document: a document's ordered paragraph sizes (a short array of numbers, never its texts)
+go to Python in Arrow batches and come back as chunk numbers. Documents are independent and spread over the cluster.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeforge.config import DEFAULTS, Settings
+from citeforge.functions import matching
 from citeforge.functions import text as T
 
 
@@ -25,15 +26,8 @@ def assign_sections(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     new_path = F.coalesce(F.array_join("section_path", "\u0001") != F.lag(F.array_join("section_path", "\u0001")).over(by_doc), F.lit(True))
     rows = rows.withColumn("new_path", new_path)
     ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tokens", "new_path"))).alias("p"))
-    start = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("t"), F.array().cast("array<struct<idx:int,c:int>>").alias("out"))
-
-    def step(a, x):
-        fresh = x["new_path"] | (a["t"] + x["tokens"] > s.section_max) & (a["t"] > 0) | (a["c"] < 0)
-        c = F.when(fresh, a["c"] + 1).otherwise(a["c"])
-        t = F.when(fresh, x["tokens"]).otherwise(a["t"] + x["tokens"])
-        return F.struct(c.alias("c"), t.alias("t"), F.array_append(a["out"], F.struct(x["idx"].alias("idx"), c.alias("c"))).alias("out"))
-
-    packed = ordered.select("doc_id", F.explode(F.aggregate("p", start, step)["out"]).alias("x")).select("doc_id", "x.idx", F.col("x.c").alias("raw_no"))
+    numbers = matching.greedy_chunks(s.section_max)(F.col("p.tokens"), F.col("p.new_path"))
+    packed = ordered.select("doc_id", F.explode(F.arrays_zip(F.col("p.idx").alias("idx"), numbers.alias("c"))).alias("x")).select("doc_id", "x.idx", F.col("x.c").alias("raw_no"))
     rows = rows.join(packed, ["doc_id", "idx"])
     path_no = F.sum(F.col("new_path").cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("path_no", path_no)
@@ -50,22 +44,9 @@ def assign_fixed(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     back over at least `fixed_overlap` tokens, and always move on."""
     rows = _with_words(paras).withColumn("tokens", T.est_tokens(F.col("n_words"), s.tokens_per_word))
     ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tokens"))).alias("p"))
-    zero = F.array(F.lit(0))
-    total = F.aggregate("p", zero, lambda a, x: F.array_append(a, F.element_at(a, -1) + x["tokens"]))
-    ordered = ordered.withColumn("cum", total).withColumn("n", F.size("p"))
-    pairs = F.array().cast("array<struct<i:int,j:int>>")
-
-    def step(a, _):
-        i = a["i"]
-        j = F.coalesce(F.array_min(F.filter(F.sequence(i + 1, F.col("n")), lambda k: F.get("cum", k) - F.get("cum", i) >= s.fixed_tokens)), F.col("n"))
-        # the last place k > i with at least the overlap in [k, j), else just after i
-        back = F.coalesce(F.array_max(F.filter(F.sequence(i + 1, F.greatest(i + 1, j - 1)), lambda k: F.get("cum", j) - F.get("cum", k) >= s.fixed_overlap)), i + 1)
-        over = a["done"]
-        return F.struct(F.when(over, i).otherwise(back).alias("i"), (over | (j >= F.col("n"))).alias("done"), F.when(over, a["out"]).otherwise(F.array_append(a["out"], F.struct(i.alias("i"), j.alias("j")))).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("i"), (F.col("n") == 0).alias("done"), pairs.alias("out"))
-    spans = ordered.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.col("n")), begin, step)["out"])
-    spans = spans.select("doc_id", "p", F.posexplode("w").alias("chunk_no", "x"))
+    spans = ordered.withColumn("w", matching.sliding_windows(s.fixed_tokens, s.fixed_overlap)(F.col("p.tokens")))
+    x = F.transform(F.sequence(F.lit(0), F.size("w") - 2, F.lit(2)), lambda k: F.struct(F.get("w", k).alias("i"), F.get("w", k + 1).alias("j")))
+    spans = spans.where(F.size("w") > 0).select("doc_id", "p", F.posexplode(x).alias("chunk_no", "x"))
     inside = spans.select("doc_id", "chunk_no", F.explode(F.slice("p", F.col("x.i") + 1, F.col("x.j") - F.col("x.i"))).alias("q")).select("doc_id", "chunk_no", F.col("q.idx").alias("idx"))
     return inside.join(rows, ["doc_id", "idx"])
 
