@@ -243,6 +243,7 @@ def test_sql(name, result):
         db.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
     want = db.execute(ORACLE_SQL[name]).df()
     got = result(name)[list(want.columns)]
+    assert sorted(want.columns) == sorted(result(name).columns)
     key = list(want.columns)
     a = sorted(map(str, want[key].astype(object).where(want[key].notna(), None).itertuples(index=False)))
     b = sorted(map(str, got[key].astype(object).where(got[key].notna(), None).itertuples(index=False)))
