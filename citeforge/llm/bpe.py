@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the `tokenizers` library over Arrow batches.
 
-The library encodes each distinct pre-token once per worker and batch; texts are then put together from
-those results, which gives the ids of encoding the whole text, as byte-level BPE never merges across
+The library encodes each distinct pre-token once per worker, while its results are kept; texts are put together
+from those results, which gives the ids of encoding the whole text, as byte-level BPE never merges across
 pre-tokens. Pre-tokens are found with a Latin-1 regular expression where a text has no other characters, and
 with the published pattern otherwise. The vocabulary's path is a parameter; nothing is trained or copied.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that a worker keeps; beyond it, it starts afresh (a bound on memory, not on results).
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 #: Pre-tokens longer than this are encoded but not kept.
 CACHE_CHARS = 64
 
@@ -46,6 +47,23 @@ def byte_table() -> dict[str, int]:
     return {chr(c): b for b, c in chars.items()}
 
 
+class Pretokens(dict):
+    """The ids of pre-tokens as little-endian bytes; those not held are encoded when asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[part] = raw
+        return raw
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; one per Python worker (`codec`)."""
 
@@ -57,7 +75,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.kept: dict[str, bytes] = {}
+        self.kept = Pretokens(self.tokenizer)
         table = byte_table()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
@@ -69,26 +87,8 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit arrays."""
-        out = []
-        for text in texts:
-            parts = self.pretokens(text)
-            try:
-                out.append(b"".join(map(self.kept.__getitem__, parts)))
-                continue
-            except KeyError:
-                pass
-            new = list({p for p in parts if p not in self.kept})
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            found = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, encoded)}
-            if len(self.kept) + len(found) > CACHE_ENTRIES:
-                self.kept.clear()
-            self.kept.update((p, b) for p, b in found.items() if len(p) <= CACHE_CHARS)
-            rest = [p for p in parts if p not in found and p not in self.kept]
-            if rest:  # the cache was cleared meanwhile
-                more = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-                found |= {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(rest, more)}
-            out.append(b"".join([found[p] if p in found else self.kept[p] for p in parts]))
-        return [np.frombuffer(b, dtype="<u4") for b in out]
+        held = self.kept.__getitem__
+        return [np.frombuffer(b"".join(map(held, self.pretokens(text))), dtype="<u4") for text in texts]
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
