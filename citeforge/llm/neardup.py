@@ -12,9 +12,9 @@ Links are confirmed on the full sets. Not all pairs of a bucket are listed: equa
 representative; each bucket then compares its members with its most central one (that which shares most of its
 buckets), and the components of the confirmed links are found by minimum labels. Only buckets that still hold several components go on. Among their
 documents, shingles that occur in one document only are counted; a document whose other shingles are too few to
-reach the threshold leaves. The sketches of the others are compared, where they are of different components, in
-blocks of about `BLOCK` rows, so that a bucket of any size is dealt over tasks and only alike pairs are written; these
-are confirmed. So no link that shares a band is lost, whatever the size of a bucket.
+reach the threshold leaves. The others get sketches of `FINE` coordinates; these are compared, where they are of
+different components, in blocks of about `BLOCK` rows, so that a bucket of any size is dealt over tasks and only
+alike pairs are written, each in the first band that it shares; these are confirmed. So no link that shares a band is lost, whatever the size of a bucket.
 
 Before its texts are read, a pair must agree in `least_agreement` of the coordinates (one byte of each is kept): by
 the concentration bound a pair at the threshold has fewer with a chance below 1e-7.
@@ -43,6 +43,8 @@ WIDTH, PERCENT = 5, 80
 BANDING = {80: (27, 4), 85: (24, 5)}
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 2048
+#: Coordinates of the finer sketches that blocks compare.
+FINE = 512
 #: Shingle sets that a worker keeps while it confirms pairs.
 KEPT_SETS = 4096
 #: Node ids that may be broadcast to pick texts; more are joined by shuffle.
@@ -190,8 +192,9 @@ def _alike(least: int, percent: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches, ["key", "low", "high"]):
             low, high, own = int(group["low"].iloc[0]), int(group["high"].iloc[0]), group["own"].to_numpy()
-            node, label, n, shared = (group[c].to_numpy() for c in ("node", "label", "n", "shared"))
-            mini = np.frombuffer(b"".join(group["mini"]), np.uint8).reshape(len(group), -1)
+            key, node, label, n, shared = (group[c].to_numpy() for c in ("key", "node", "label", "n", "shared"))
+            mini = np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(len(group), -1)
+            keys = np.stack(group["keys"].to_numpy())
             left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
             step = max(1, (8 << 20) // max(1, len(right) * mini.shape[1]))
             for at in range(0, len(left), step):
@@ -208,8 +211,22 @@ def _alike(least: int, percent: int):
                     x, y = x[good], y[good]
                 else:
                     x, y = np.nonzero(may & ((mini[i[:, 0], None] == mini[j[0]][None]).sum(axis=2) >= least))
-                if len(x):
-                    yield pd.DataFrame({"a": node[i[x, 0]], "b": node[j[0, y]]})
+                x, y = i[x, 0], j[0, y]
+                same = keys[x] == keys[y]
+                once = keys[x, same.argmax(axis=1)] == key[0]
+                if once.any():
+                    yield pd.DataFrame({"a": node[x[once]], "b": node[y[once]]})
+
+    return of
+
+
+def _fine(width: int, bins: int):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                found = _mix(sketch([shingles(t, width) for t in part["text"]], bins)).astype(np.uint8)
+                yield pd.DataFrame({"node": part["node"], "fine": [row.tobytes() for row in found]})
 
     return of
 
@@ -247,7 +264,7 @@ class NearDuplicates:
         of_doc = self._hold(live.select("doc_id", "n_shingles", "s1", "s2").join(first, ["s1", "s2"]).select("doc_id", "node", "n_shingles", "s1", "s2"), "nodes")
         # a node's own row; rows of other texts under its id are other nodes' members
         own = self._hold(live.join(first.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "mini"), "own")
-        self.own = own.select("node", "n", "mini")
+        self.own = own
         members = own.select("node", F.explode("keys").alias("key"))  # a key's hash holds its band
         shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("key")
         met = self._hold(members.join(shared, "key", "left_semi"), "buckets")  # only buckets of two or more
@@ -324,11 +341,15 @@ class NearDuplicates:
         nodes = self._hold(mixed.select("node").distinct(), "mixed-nodes")
         able = mixed.join(self._shared(nodes, self.rows_held), "node")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        able = self._mixed(able.drop("blocks")).withColumn("own", own).join(self.own, "node")
-        dealt = able.select("key", "node", "label", "n", "shared", "mini", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        able = self._hold(self._mixed(able.drop("blocks")).withColumn("own", own), "able")
+        nodes = self._hold(able.select("node").distinct(), "able-nodes")
+        # of a node's rows with several texts, those with words
+        fine = self._texts(nodes, self.rows_held).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").mapInPandas(_fine(self.width, FINE), "node long, fine binary")
+        able = able.join(self.own.select("node", "n", "keys"), "node").join(fine, "node")
+        dealt = able.select("key", "node", "label", "n", "shared", "keys", "fine", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
         sorted_ = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-        likely = self._hold(sorted_.mapInPandas(_alike(self.least, self.percent), "a long, b long").distinct(), "likely")
+        likely = self._hold(sorted_.mapInPandas(_alike(least_agreement(self.percent, FINE), self.percent), "a long, b long").distinct(), "likely")
         return self._components(self._exact(likely), label)
 
     def _mixed(self, named: DataFrame) -> DataFrame:
