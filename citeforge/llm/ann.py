@@ -4,8 +4,11 @@ Codebooks are full-dimensional: each of `BOOKS` residual codebooks of `WORDS` ve
 the earlier ones leave, then all are refitted together by least squares on the codes found. A vector (scaled to
 length 1) is encoded by beam search as one word of each codebook whose sum is near it; the index stores the
 codes, the norm of the sum and the original vector. A query scores every row through a table of its inner
-products with the words (one look-up per codebook, divided by the stored norm); the `RERANK` best rows of a block
-and all rows that tie with the last of them are compared exactly, in double precision on the original vectors.
+products with the words (one look-up per codebook, divided by the stored norm). The `RERANK` best rows of a block
+are compared exactly, in double precision on the original vectors; they give a score that the k nearest must reach.
+Then every other row is compared too whose rough score r does not rule that out: a row at cosine a from its code has
+at most r * a + sqrt((1 - r^2) (1 - a^2)). So no neighbour is lost, in a crowd of close vectors that share codes neither;
+the codes only save comparisons.
 
 Codebooks are fitted on at most `SAMPLE` vectors, chosen by a hash of the id; every row is encoded. Queries are
 taken in blocks of `QUERY_BLOCK`, each broadcast (a bound of QUERY_BLOCK * dimensions numbers) and held against
@@ -31,6 +34,8 @@ from citeforge.llm.common import durable
 BOOKS, WORDS, BEAM = 8, 64, 8
 SAMPLE, ROUNDS, SEED = 8192, 8, 3
 RERANK, QUERY_BLOCK, BATCH = 48, 4096, 8192
+#: Covers the single precision of rough scores and bounds; pairs compared at once.
+SLACK, PAIRS = 2e-3, 1 << 17
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -184,6 +189,10 @@ def _scan(shared, k: int, rerank: int):
             begin = np.searchsorted(of[by], np.arange(len(first)))
             count = np.diff(np.append(begin, len(by)))
             x, codes, norm = _unit(x[first]), codes[first], norm[first]
+            code_of = sum(books.books.reshape(m * words, -1)[codes[:, j]] for j in range(m)) / norm[:, None].astype(float)
+            along = np.clip((x * code_of).sum(axis=1), -1, 1)  # cosine of each vector and its code
+            across = np.sqrt(1 - along * along).astype(np.float32)
+            along = along.astype(np.float32)
             take = min(rerank, len(first))
             for at in range(0, len(ids), 256):
                 part = slice(at, min(at + 256, len(ids)))
@@ -192,8 +201,20 @@ def _scan(shared, k: int, rerank: int):
                     rough += table[part][:, codes[:, j]]
                 rough /= norm
                 pick = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-                rows, cols = np.repeat(np.arange(part.stop - at), take), pick.ravel()
-                score = exact_cosine(q[part][rows], x[cols])
+                # the (k + 1)th best of them (one may be the query's own) or the kth held is a score to reach
+                near = np.einsum("id,ijd->ij", q[part], x[pick])
+                least = best_score[part][:, -1]
+                if take > k:
+                    least = np.maximum(least, np.partition(near, take - k - 1, axis=1)[:, take - k - 1])
+                np.clip(rough, -1, 1, out=rough)
+                rough = rough * along + np.sqrt(1 - rough * rough) * across
+                cols = np.flatnonzero((rough >= (least - SLACK)[:, None]).any(axis=0))
+                near = q[part] @ x[cols].T
+                if len(cols) > k:
+                    least = np.maximum(least, np.partition(near, len(cols) - k - 1, axis=1)[:, len(cols) - k - 1])
+                rows, at_col = np.nonzero(near >= (least - 1e-9)[:, None])
+                cols = cols[at_col]
+                score = np.concatenate([exact_cosine(q[part][rows[j : j + PAIRS]], x[cols[j : j + PAIRS]]) for j in range(0, max(1, len(rows)), PAIRS)])
                 # each vector stands for its k + 1 smallest ids (one of them may be the query's own)
                 times = np.minimum(count[cols], k + 1)
                 rows, score, start = np.repeat(rows, times), np.repeat(score, times), np.repeat(begin[cols], times)
