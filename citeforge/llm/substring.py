@@ -1,103 +1,164 @@
-"""Substring deduplication by content-defined chunking.
+"""Substring deduplication by winnowed fingerprints that are extended byte by byte.
 
-A gear rolling hash over the UTF-8 bytes (each byte shifts the hash and adds a random number, so it depends on
-the last `GEAR_WINDOW` bytes only) ends a chunk wherever its top bits are 0; chunks have between `MIN_CHUNK` and
-`MAX_CHUNK` bytes and never split a character. An insertion moves only the chunks that it touches. Chunks are
-compared by a 128-bit digest. Of equal chunks the first (smallest doc_id, then place) stays. A repeat is removed
-where a run of neighbouring chunks that all have an earlier equal is at least `min_run` bytes long, so that short
-common phrases stay.
+Every stretch of `GRAM` UTF-8 bytes has a rolling hash; of each `WINDOW` neighbouring hashes the least is kept as a
+fingerprint, besides the first and the last of a text. So two texts that share GRAM + WINDOW - 1 bytes share a
+fingerprint there, wherever the passage stands, and none is more than WINDOW bytes from the next. Of equal fingerprints the first
+place (smallest doc_id, then place) stays; each other is compared with the bytes around it and extended in both
+directions up to the first difference, by at most WINDOW bytes. Where such stretches together cover at least `min_run` bytes without a gap, they
+are removed, so that short common phrases stay. An end of a passage can stay (less than WINDOW bytes) only where the
+fingerprint beside it has its first place in a third text that goes on otherwise.
 
-The first place of every digest is an aggregate with partial sums in each task; the way back from repeated
-digests to chunks is an equi-join that Spark splits where a digest is very frequent. Only digests and places are
-shuffled for it; texts move once, to meet their own spans.
+The first place of every fingerprint is an aggregate with partial sums in each task; first places get the bytes around
+them from their own texts; the way back to fingerprints is an equi-join that Spark splits where one is very frequent.
+Texts move to meet their first places and their spans, once where one exchange serves both.
 
 Cases: a null text stays null and an empty one empty; rows with equal doc_id are one document to the
-comparison (the first stays in none of them only if another id is smaller), and each is cut by its own
-chunks; null ids come before all others; very long texts are read whole; other columns are kept.
+comparison (the first stays in none of them only if another id is smaller), and each is cut where it repeats
+itself; null ids come before all others; very long texts are read whole; other columns are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GEAR_WINDOW, GEAR_BITS = 16, 6
-MIN_CHUNK, MAX_CHUNK = 24, 256
+GRAM, WINDOW = 40, 120
 MIN_RUN = 120
-_GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
-_GEAR[0] = 0
-
-
-def boundaries(raw: bytes) -> np.ndarray:
-    """Ends of the chunks of one text, the last being its length."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.int64)
-    a = np.frombuffer(raw, np.uint8)
-    h = _GEAR[a]
-    span = 1
-    while span < GEAR_WINDOW:  # sums over twice as many bytes in each round
-        h[span:] = h[span:] + (h[:-span] << np.uint16(span))
-        span *= 2
-    starts = np.ones(n + 1, bool)  # places where a character begins
-    starts[:n] = (a & 0xC0) != 0x80
-    ends = np.flatnonzero((h >> np.uint16(16 - GEAR_BITS) == 0) & starts[1:]) + 1
-    out, last = [], 0
-    for end in [*ends.tolist(), n]:
-        while end - last > MAX_CHUNK:
-            cut = last + MAX_CHUNK
-            while not starts[cut]:
-                cut -= 1
-            out.append(cut)
-            last = cut
-        if end - last >= MIN_CHUNK or end == n and end > last:
-            out.append(end)
-            last = end
-    return np.array(out, np.int64)
-
-
-def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Hashes of a text that are held at once.
+SEGMENT = 1 << 20
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _spread(x: np.ndarray, width: int, join) -> np.ndarray:
+    """`join` over each `width` neighbours, from spans of powers of two."""
+    done, out, at = 0, None, x
+    for bit in range(width.bit_length()):
+        span = 1 << bit
+        if width & span:
+            out = at if out is None else join(at[: len(out) - span], out[span:], done)
+            done += span
+        if bit + 1 < width.bit_length():
+            at = join(at[:-span], at[span:], span)
+    return out
+
+
+def _gram_hashes(a: np.ndarray) -> np.ndarray:
+    """Of the GRAM bytes from each place."""
+    h = _spread(_BYTES[a], GRAM, lambda x, y, n: x[: len(y)] * np.uint64(pow(_BASE, n, 1 << 64)) + y[: len(x)])
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _least(h: np.ndarray) -> np.ndarray:
+    """Places whose hash is the least of some WINDOW neighbouring ones."""
+    if len(h) <= WINDOW:
+        return np.flatnonzero(h == h.min())
+    low = _spread(h, WINDOW, lambda x, y, n: np.minimum(x[: len(y)], y[: len(x)]))
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    return np.flatnonzero(_spread(np.concatenate([edge, low, edge]), WINDOW, lambda x, y, n: np.maximum(x[: len(y)], y[: len(x)])) == h)
+
+
+def fingerprints(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes; of equal hashes that follow each other closely (repeated bytes) the ends and some between."""
+    a, last = np.frombuffer(raw, np.uint8), len(raw) - GRAM
+    if last < 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    places, hashes = [], []
+    for at in range(0, last + 1, SEGMENT):
+        begin = max(0, at - WINDOW)
+        h = _gram_hashes(a[begin : at + SEGMENT + WINDOW + GRAM])
+        keep = _least(h)
+        keep = np.union1d(keep, [0] * (begin == 0) + [last - begin] * (begin + len(h) > last)).astype(np.int64)
+        keep = keep[(keep + begin >= at) & (keep + begin < at + SEGMENT)]
+        places.append(keep + begin)
+        hashes.append(h[keep])
+    place, h = np.concatenate(places), np.concatenate(hashes)
+    fresh = np.append(True, h[1:] != h[:-1])
+    step = (place - place[fresh][np.cumsum(fresh) - 1]) // (GRAM // 2)
+    some = fresh | np.append(True, step[1:] != step[:-1])
+    some[:-1] |= fresh[1:]
+    some[-1] = True
+    return place[some], h[some]
+
+
+def _fingerprint_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, key, start, length, digest, again = [], [], [], [], [], []
-        for doc_id, doc_key, raw in zip(batch["doc_id"].astype("Int64"), batch["doc_key"], batch["raw"]):
-            ends = boundaries(raw)
-            begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            seen: set[bytes] = set()
-            for s, e in zip(begin.tolist(), ends.tolist()):
-                digest.append(d := blake2b(raw[s:e], digest_size=16).digest())
-                again.append(d in seen)
-                seen.add(d)
-            start.append(begin)
-            length.append(ends - begin)
-            ids += [doc_id] * len(ends)
-            key.append(np.full(len(ends), doc_key))
-        two = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-        yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "doc_key": np.concatenate(key) if key else [], "start": np.concatenate(start) if start else [], "length": np.concatenate(length) if length else [], "d1": two[:, 0], "d2": two[:, 1], "again": again}).astype({"again": bool, "doc_key": "int64", "start": "int64", "length": "int64"})
-
-
-def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, doc_key (hash of the text), start, length, d1, d2, again (equal to an earlier chunk of its text) of
-    every chunk; places count UTF-8 bytes."""
-    raw = docs.where(F.length(text) > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), F.col(text).cast("binary").alias("raw"))
-    return raw.mapInPandas(_chunk_rows, "doc_id long, doc_key long, start long, length long, d1 long, d2 long, again boolean")
-
-
-def repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, doc_key, start, length, first_doc_id, copies: chunks with an earlier equal."""
-    all_chunks = chunks(docs, text)
-    rank = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    first = all_chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("first_rank")).where("copies > 1")
-    met = all_chunks.join(first, ["d1", "d2"]).where((rank != F.col("first_rank")) | F.col("again"))
-    return met.select("doc_id", "doc_key", "start", "length", F.when(F.col("first_rank") != -(1 << 63), F.col("first_rank")).alias("first_doc_id"), "copies")
+        each = [fingerprints(raw) for raw in batch["raw"]]
+        count = [len(p) for p, _ in each]
+        own = []
+        for p, h in each:
+            _, first, of = np.unique(h, return_index=True, return_inverse=True)
+            earlier = p[first[of]] if len(p) else p
+            own.append(np.where(earlier < p, earlier, -1))
+        flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").repeat(count).array, "doc_key": batch["doc_key"].to_numpy().repeat(count), "h": flat([h for _, h in each], np.uint64).view(np.int64), "place": flat([p for p, _ in each], np.int64), "own": flat(own, np.int64)})
+
+
+def _around(raw: bytes, place: int) -> tuple[int, bytes]:
+    """The place within the bytes cut out, and the bytes: GRAM of them and WINDOW on each side."""
+    begin = max(0, place - WINDOW)
+    return place - begin, raw[begin : place + GRAM + WINDOW]
+
+
+def _context():
+    """h, at, around of every first place in a text."""
+
+    def of(text: str, found) -> list[dict]:
+        raw = text.encode()
+        return [dict(zip(("h", "at", "around"), (int(r["h"]), *_around(raw, int(r["place"]))))) for r in found]
+
+    @F.pandas_udf("array<struct<h:long,at:int,around:binary>>")
+    def context(texts: pd.Series, firsts: pd.Series) -> pd.Series:
+        return pd.Series([of(t, f) for t, f in zip(texts, firsts)], dtype=object)
+
+    return context
 
 
 #: Names that no table is likely to have.
 SPANS, KEY = "__citeforge_spans", "__citeforge_key"
+
+
+def repeated_fingerprints(keyed: DataFrame, text: str = "text") -> DataFrame:
+    """KEY, place, own (an earlier place in its text, or -1), first_doc_id, at, around (of the first place, null where
+    that is in the document itself): fingerprints with an earlier equal; places count bytes. `keyed` has KEY (of id and text)."""
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    long = keyed.where(F.octet_length(text) >= GRAM).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(KEY).alias("doc_key"), F.col(text).cast("binary").alias("raw"))
+    prints = long.mapInPandas(_fingerprint_rows, "doc_id long, doc_key long, h long, place long, own long")
+    first = prints.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(rank.alias("rank"), "doc_key", "place")).alias("f")).where("copies > 1")
+    by_doc = first.groupBy(F.col("f.doc_key").alias("doc_key")).agg(F.collect_list(F.struct("h", F.col("f.place").alias("place"))).alias("firsts"))
+    # the texts are dealt by KEY as for the spans, so that Spark can use one exchange for both; equal rows count once
+    holders = keyed.select("doc_id", text, KEY).join(by_doc, F.col(KEY) == F.col("doc_key")).withColumn("n", F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))).where("n = 1")
+    known = holders.select(rank.alias("first_rank"), F.explode(_context()(text, "firsts")).alias("c")).select("first_rank", "c.*")
+    other = rank != F.col("first_rank")
+    met = prints.join(known, "h").where(other | (F.col("own") >= 0))
+    return met.select(F.col("doc_key").alias(KEY), "place", "own", F.when(F.col("first_rank") != -(1 << 63), F.col("first_rank")).alias("first_doc_id"), "at", F.when(other, F.col("around")).alias("around"))
+
+
+def _alike(a: bytes, b: bytes, order: str) -> int:
+    """Equal bytes at the beginning (little) or end (big) of two strings of one length."""
+    if a == b:
+        return len(a)
+    x = int.from_bytes(a, order) ^ int.from_bytes(b, order)
+    return ((x & -x).bit_length() - 1) // 8
+
+
+def _stretch(raw: bytes, place: int, at: int, around: bytes) -> tuple[int, int] | None:
+    """Begin and end of what raw shares with the bytes around a first place; None where only the hashes are equal."""
+    if raw[place : place + GRAM] != around[at : at + GRAM]:
+        return None
+    left, right = min(place, at), min(len(raw) - place, len(around) - at)
+    return place - _alike(raw[place - left : place], around[at - left : at], "big"), place + _alike(raw[place : place + right], around[at : at + right], "little")
+
+
+def _begins(raw: bytes, place: int) -> bool:
+    return place == len(raw) or raw[place] & 0xC0 != 0x80
+
+
 _RESULT = "struct<text:string,n_chars:long,removed_chars:long,n_repeats:long,spans:array<struct<start:long,end:long,first_doc_id:long>>>"
 
 
@@ -106,12 +167,22 @@ def _cut(min_run: int):
         if text is None or found is None or not len(found):
             return text, len(text or ""), 0, 0, []
         raw = text.encode()
+        stretches = []
+        for r in found:
+            at, around = (r["at"], r["around"]) if r["around"] is not None else _around(raw, int(r["own"]))
+            if (shared := _stretch(raw, int(r["place"]), int(at), around)) is not None:
+                stretches.append((*shared, r["first_doc_id"]))
         runs: list[list] = []
-        for start, length, first in sorted({(int(r["start"]), int(r["length"]), r["first_doc_id"]) for r in found}, key=lambda r: r[0]):
-            if runs and runs[-1][1] == start:
-                runs[-1][1] = start + length
-            elif not runs or runs[-1][1] < start:
-                runs.append([start, start + length, first])
+        for start, end, first in sorted(stretches, key=lambda r: (r[0], -r[1])):
+            if runs and start <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([start, end, first])
+        for r in runs:  # a character is cut as a whole
+            while not _begins(raw, r[0]):
+                r[0] += 1
+            while not _begins(raw, r[1]):
+                r[1] -= 1
         runs = [r for r in runs if r[1] - r[0] >= min_run]
         if not runs:
             return text, len(text), 0, 0, []
@@ -136,10 +207,9 @@ def _cut(min_run: int):
 
 def deduplicate(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """The rows with a struct column SPANS: the text without repeats, sizes, and the spans (in characters) removed."""
-    found = repeated_chunks(docs, text).groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("start", "length", "first_doc_id")).alias(SPANS))
-    found = found.select(F.col("doc_id").alias("__citeforge_id"), F.col("doc_key").alias(KEY), SPANS)
-    keyed = docs.withColumn(KEY, F.xxhash64(F.col(text)))
-    met = keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found["__citeforge_id"]) & (keyed[KEY] == found[KEY]), "left").drop(keyed[KEY]).drop(found[KEY]).drop("__citeforge_id")
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col(text)))
+    found = repeated_fingerprints(keyed, text).groupBy(KEY).agg(F.collect_list(F.struct("place", "own", "first_doc_id", "at", "around")).alias(SPANS))
+    met = keyed.join(found, KEY, "left").drop(KEY)
     return met.withColumn(SPANS, _cut(min_run)(F.col(text), F.col(SPANS)))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from citeforge.llm import ann
+from citeforge.llm import ann, substring
 
 
 @pytest.mark.parametrize("spread", [0.005, 0.1])
@@ -25,3 +25,33 @@ def test_neighbours_in_a_crowd(spread):
     score[np.arange(len(ids)), ids] = -2
     for i, found in zip(ids, score):
         assert set(out[out.query_id == i].vec_id) == set(np.argsort(-found)[:5])
+
+
+def _words(rng, n):
+    return " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
+
+
+def test_planted_passages(spark):
+    """Passages of 51 words inside different documents are cut out whole, and nothing else."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for k in range(60):
+        passage = " ü" + _words(rng, 51) + "é "
+        rows.append((k, _words(rng, 40 + k) + passage + _words(rng, 60)))
+        a, b = _words(rng, 30) + "!", "?" + _words(rng, 45 + k)
+        rows.append((1000 + k, a + passage + b))
+        want[1000 + k] = a + b
+    got = {r["doc_id"]: r["text"] for r in substring.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in rows if i < 1000)
+    assert got.items() >= want.items()
+
+
+def test_fingerprints_of_segments(monkeypatch):
+    """The same wherever a long text is divided; repeated bytes do not multiply them."""
+    raw = _words(np.random.default_rng(3), 4000).encode()
+    whole = substring.fingerprints(raw)
+    assert np.diff(whole[0]).max() <= substring.WINDOW and len(whole[0]) < len(raw) / 30
+    monkeypatch.setattr(substring, "SEGMENT", 1000)
+    assert all((a == b).all() for a, b in zip(whole, substring.fingerprints(raw)))
+    same = substring.fingerprints(b"x" * 50000)[0]
+    assert np.diff(same).max() <= substring.GRAM and len(same) < 50000 / 15
