@@ -6,6 +6,11 @@ table with that `lang`; they are a few hundred numbers a language. A document is
 language is still further than the threshold in either histogram. Guards: the character verdict needs
 `min_chars` word characters, the word verdict `min_words` words; below them that verdict passes.
 
+A text without any common word is often nearer to a language than the word threshold. With `derived`, as in `keep`, a
+text with fewer common words than the language must also be nearer to it than NO_WORD_SHARE of what such a text is. It does
+not hold for languages that have hardly any of the common words themselves (such a text is nearer to them than
+MIN_NO_WORD). `assess` judges by the fixed thresholds only, as the SQL of op2_quality_rules does.
+
 Base rules come first (`base_failed`): fewer than 50 words, or more than half of the words inside repeated
 3-word windows.
 
@@ -36,6 +41,7 @@ CLASSES = ("lower", "upper", "digit", "space", "other_ascii", "beyond_ascii")
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 MIN_CHARS, MIN_JS_WORDS = 200, 50
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.45, 0.75
+NO_WORD_SHARE, MIN_NO_WORD = 0.9, 0.2
 #: More languages than this are an error rather than a large broadcast.
 MAX_LANGUAGES = 1000
 
@@ -121,11 +127,14 @@ VERDICT = "__citeforge_quality"
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, nearest string, kept boolean"
 
 
-def judge(docs: DataFrame, references: dict, text: str = "text", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_JS_WORDS) -> DataFrame:
+def judge(docs: DataFrame, references: dict, text: str = "text", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_JS_WORDS, derived: bool = False) -> DataFrame:
     """The rows with a struct column VERDICT of RESULT's fields."""
     names = list(references)
     chars = np.array([references[k][0] for k in names]).reshape(len(names), len(CLASSES))
     words = np.array([references[k][1] for k in names]).reshape(len(names), len(COMMON) + 1)
+    others = words[:, -1] / np.maximum(words.sum(axis=1), 1)
+    no_word = js_distance(np.eye(len(COMMON) + 1)[-1], words)
+    limits = np.where(no_word >= MIN_NO_WORD, NO_WORD_SHARE * no_word, np.inf)
 
     def of(t: str | None) -> tuple:
         t = t or ""
@@ -135,12 +144,14 @@ def judge(docs: DataFrame, references: dict, text: str = "text", max_char: float
         word_chars, n_symbols, n_dup, n_rep = base_counts(t, parts)
         failed = n < MIN_WORDS or 100 * n_rep > MAX_REPEATED_PERCENT * n
         dc = dw = nearest = None
+        wordless = False
         if names and n:
             c, w = histograms(raw, parts)
             by_char, by_word = js_distance(c, chars), js_distance(w, words)
             best = int(np.argmin(by_char + by_word))
             nearest, dc, dw = names[best], float(by_char.min()), float(by_word.min())
-        far = dc is not None and (word_chars >= min_chars and dc > max_char or n >= min_words and dw > max_word)
+            wordless = derived and bool(np.all((by_word > limits) & (w[-1] / w.sum() > others)))
+        far = dc is not None and (word_chars >= min_chars and dc > max_char or n >= min_words and (dw > max_word or wordless))
         return n, word_chars, n_symbols, n_dup, n_rep, failed, dc, dw, nearest, not failed and not far
 
     @F.pandas_udf("struct<" + RESULT.replace(" long", ":long").replace(" boolean", ":boolean").replace(" double", ":double").replace(" string", ":string") + ">")
@@ -159,5 +170,5 @@ def assess(docs: DataFrame, **options) -> DataFrame:
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows that pass, with their columns unchanged."""
-    judged = judge(docs, language_references(docs), **options)
+    judged = judge(docs, language_references(docs), **{"derived": True, **options})
     return judged.where(f"{VERDICT}.kept").drop(VERDICT)

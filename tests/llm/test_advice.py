@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from citeforge.llm import ann, substring
+from citeforge.llm import ann, quality, substring
 
 
 @pytest.mark.parametrize("spread", [0.005, 0.1])
@@ -55,3 +55,18 @@ def test_fingerprints_of_segments(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, substring.fingerprints(raw)))
     same = substring.fingerprints(b"x" * 50000)[0]
     assert np.diff(same).max() <= substring.GRAM and len(same) < 50000 / 15
+
+
+def test_quality_without_common_words(spark):
+    """Random words go; clean texts stay, those of a language that has no common words too."""
+    rng = np.random.default_rng(11)
+
+    def prose(words, share):
+        return " ".join(rng.choice(words) if rng.random() < share else _words(rng, 1) for _ in range(120))
+
+    en, de = "the of and to in is that for it as".split(), "der die das und den von zu mit sich auf".split()
+    rows = [(k, prose(en, 0.25), "en") for k in range(20)] + [(20 + k, prose(de, 0.25), "de") for k in range(20)]
+    junk = [(100 + k, prose(en, 0), None) for k in range(5)]
+    of = lambda rows: {r["doc_id"] for r in quality.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert of(rows + junk) == set(range(40))
+    assert of([(k, prose(en, 0), "xx") for k in range(5)]) == set(range(5))
