@@ -6,10 +6,10 @@ are the mean over the positions of all its windows (the whole text, in windows o
 
 Training sample, a documented bound: at most `SAMPLE_PER_LANGUAGE` documents a language, chosen by a hash of the
 id among rows with a language whose crc32(id) mod 5 is not 0; of each, at most `WINDOWS_PER_DOCUMENT` windows
-evenly spread over the whole text.
+evenly spread over the whole text. More than `MAX_LANGUAGES` languages are an error.
 
 Cases: null text, or one without letters, is `und` with score 1.0; with no training rows every text is `und` with
-score 0.0; repeated rows are predicted each; a null id is held_out false and predicted; very long texts are
+score 0.0, and `keep` passes those with letters; repeated rows are predicted each; a null id is held_out false and predicted; very long texts are
 read whole, in blocks.
 """
 
@@ -189,7 +189,9 @@ def training_windows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -
     """lang, window: of the bounded sample described above, at the driver."""
     named = docs.where(is_training() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = named.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)).alias("h"))
-    sizes = key.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = key.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:  # none is left out silently
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return pd.DataFrame({"lang": [], "window": []})
     # a hash bound lets about three times the rows wanted through, however large a language is; the rest is ordered
@@ -254,6 +256,14 @@ MIN_SCORE = 0.35
 
 
 def keep(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows with a recognised language, with their columns unchanged."""
-    judged = predict(docs, train(docs))
+    """The rows with a recognised language, with their columns unchanged; those with a letter where no row teaches one."""
+    net = train(docs)
+    if not net.languages:
+
+        @F.pandas_udf("boolean")
+        def lettered(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: t is not None and has_letter(t)).astype(bool)
+
+        return docs.where(lettered(F.col("text")))
+    judged = predict(docs, net)
     return judged.where((F.col(f"{VERDICT}.lang_pred") != UNKNOWN) & (F.col(f"{VERDICT}.score") >= min_score)).drop(VERDICT)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from citeforge.llm import ann, quality, substring
+from citeforge.llm import ann, langid, quality, substring
 
 
 @pytest.mark.parametrize("spread", [0.005, 0.1])
@@ -70,3 +70,12 @@ def test_quality_without_common_words(spark):
     of = lambda rows: {r["doc_id"] for r in quality.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert of(rows + junk) == set(range(40))
     assert of([(k, prose(en, 0), "xx") for k in range(5)]) == set(range(5))
+
+
+def test_language_bounds(spark):
+    """Without a model texts with letters stay; more languages than the bound are an error."""
+    plain = spark.createDataFrame([(1, "some words", None), (2, "123 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in langid.keep(plain).collect()] == [1]
+    many = spark.createDataFrame([(k, "some words", f"l{k // 8}") for k in range(8 * (langid.MAX_LANGUAGES + 1))], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.training_windows(many)
