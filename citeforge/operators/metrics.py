@@ -35,9 +35,15 @@ def rate_text(k: Column, n: Column) -> Column:
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided test on the discordant counts, through logarithms of factorials, so that no count overflows."""
     n, low = b + c, F.least(b, c)
-    log_fact = lambda m: F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, x: a + F.ln(x.cast("double")))
-    terms = F.transform(F.sequence(F.lit(0), low.cast("int")), lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.ln(F.lit(2.0))))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)), 6))
+    nothing = F.struct((-n * F.ln(F.lit(2.0))).alias("term"), F.exp(-n * F.ln(F.lit(2.0))).alias("total"))
+
+    def more(x: Column, i: Column) -> Column:  # the logarithm of each term from the one before
+        term = x["term"] + F.ln((n - i + 1) / i)
+        return F.struct(term.alias("term"), (x["total"] + F.exp(term)).alias("total"))
+
+    steps = F.when(low > 0, F.sequence(F.lit(1), low.cast("int"))).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(steps, nothing, more, lambda x: x["total"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), 2 * tail), 6))
 
 
 def hit_at_k(hits: DataFrame, keys: list[str] | None = None) -> DataFrame:

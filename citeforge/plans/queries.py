@@ -283,6 +283,7 @@ def wilson(spark, sf):
 
 
 def mcnemar(spark, sf):
+    """Of fixed counts, and of labels; there b counts only ids divisible by 40 (a test convention that its SQL shares)."""
     pairs = frame(spark, "pairs2").select("item_id", "b", "c")
     real = table(spark, sf, "labels").agg(F.lit(0).alias("item_id"), F.count_if(F.expr("quality = 1 and toxic = 0 and doc_id % 40 = 0")).alias("b"), F.count_if(F.expr("quality = 0 and toxic = 1")).alias("c"))
     return pairs.unionAll(real).select("item_id", "b", "c", metrics.mcnemar(F.col("b"), F.col("c")).alias("p"))
@@ -333,7 +334,7 @@ def last_vote_wins(spark, sf):
 
 
 def resume_antijoin(spark, sf):
-    """Documents whose id no purchase event of an even id has recorded."""
+    """Documents whose id no event of an even id has recorded (a test convention that its SQL shares)."""
     done = table(spark, sf, "events").where("event_id % 2 = 0").select(F.lit("r1").alias("run"), F.col("user_id").alias("key"))
     return guard.resume(table(spark, sf, "documents").select(F.col("doc_id").alias("key")), done, "r1")
 

@@ -1,12 +1,15 @@
 """Parts of the job that an earlier version left out."""
 
+import math
 import types
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from citeforge.llm import ann, langid, quality, substring
+from citeforge.operators import metrics
 
 
 @pytest.mark.parametrize("spread", [0.005, 0.1])
@@ -79,3 +82,13 @@ def test_language_bounds(spark):
     many = spark.createDataFrame([(k, "some words", f"l{k // 8}") for k in range(8 * (langid.MAX_LANGUAGES + 1))], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         langid.training_windows(many)
+
+
+def test_mcnemar_of_large_counts(spark):
+    """One step a term, not an array a term."""
+    counts = [(0, 0), (5, 0), (3, 8), (30000, 29400), (29400, 30000), (20000, 20000)]
+    got = spark.createDataFrame(counts, "b long, c long").select("b", "c", metrics.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in got:
+        n = r["b"] + r["c"]
+        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(min(r["b"], r["c"]) + 1))
+        assert abs(r["p"] - min(1.0, 2 * want)) < 2e-6
