@@ -18,7 +18,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     _bounded_batches(spark)
     s = F.col(substring.SPANS)
     out = substring.deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", s["n_chars"].alias("n_chars"), s["removed_chars"].alias("removed_chars"), s["n_repeats"].alias("n_repeats"), (s["removed_chars"] > 0).alias("changed"), F.array_distinct(F.transform(s["spans"], lambda x: x["first_doc_id"])).alias("repeats_of"), s["spans"].alias("spans"), s["text"].alias("text"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(s["spans"], lambda x: x["first_doc_ids"]))))
+    return out.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), s["removed_chars"].alias("removed_chars"), F.size(s["spans"]).cast("long").alias("n_repeats"), (s["removed_chars"] > 0).alias("changed"), ids.alias("repeats_of"), s["spans"].alias("spans"), s["text"].alias("text"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

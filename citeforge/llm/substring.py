@@ -1,20 +1,22 @@
-"""Substring deduplication by winnowed fingerprints that are extended byte by byte.
-
-Every stretch of `GRAM` UTF-8 bytes has a rolling hash; of each `WINDOW` neighbouring hashes the least is kept as a
-fingerprint, besides the first and the last of a text. So two texts that share GRAM + WINDOW - 1 bytes share a
-fingerprint there, wherever the passage stands, and none is more than WINDOW bytes from the next. Of equal fingerprints the first
-place (smallest doc_id, then place) stays; each other is compared with the bytes around it and extended in both
-directions up to the first difference, by at most WINDOW bytes. Where such stretches together cover at least `min_run` bytes without a gap, they
-are removed, so that short common phrases stay. An end of a passage can stay (less than WINDOW bytes) only where the
-fingerprint beside it has its first place in a third text that goes on otherwise.
-
-The first place of every fingerprint is an aggregate with partial sums in each task; first places get the bytes around
-them from their own texts; the way back to fingerprints is an equi-join that Spark splits where one is very frequent.
-Texts move to meet their first places and their spans, once where one exchange serves both.
-
-Cases: a null text stays null and an empty one empty; rows with equal doc_id are one document to the
-comparison (the first stays in none of them only if another id is smaller), and each is cut where it repeats
-itself; null ids come before all others; very long texts are read whole; other columns are kept.
+"""Substring deduplication by content-defined chunks under a gear rolling hash.
+
+The gear hash of a place mixes the `GEAR_BYTES` bytes up to it. A chunk ends where that hash is the largest within
+`RADIUS` places on either side, so ends depend on the bytes around them alone: they meet again soon after an
+insertion, and every stretch of some hundred bytes has several. Chunks of more than `MAX_CHUNK` bytes (bytes that
+repeat) are divided evenly. A chunk's digest tells equal chunks; of these the first place (smallest doc_id, then
+place) stays. Neighbouring chunks that stand earlier make a run; both of its ends are compared, byte by byte, with the
+`CONTEXT` bytes beside its first place, as a passage begins and ends inside chunks. Runs of `min_run` bytes or more
+are cut out, so that short common phrases stay, and so does a single chunk whose digest is equal by chance.
+
+Only digests and places meet all others: the first place of each digest is an aggregate with partial results, the way back an
+equi-join that Spark splits where a digest is very frequent. Runs are put together inside one document. Of first
+places only the ends of runs are asked for their bytes, each once. Texts are dealt out by document to meet
+what is asked and what is cut; an unchanged text never goes to Python for that.
+
+Cases: a null text stays null and an empty one empty; null ids come before all others and are not named as
+sources; rows with equal doc_id are ordered by a hash of their text, and rows equal in both are one document
+(all stay, or all are cut alike); a document that repeats itself is cut too; texts are never shortened to be compared;
+characters are cut whole; other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,120 +25,160 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 40, 120
-MIN_RUN = 120
-#: Hashes of a text that are held at once.
-SEGMENT = 1 << 20
-_BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _spread(x: np.ndarray, width: int, join) -> np.ndarray:
-    """`join` over each `width` neighbours, from spans of powers of two."""
-    done, out, at = 0, None, x
-    for bit in range(width.bit_length()):
-        span = 1 << bit
-        if width & span:
-            out = at if out is None else join(at[: len(out) - span], out[span:], done)
-            done += span
-        if bit + 1 < width.bit_length():
-            at = join(at[:-span], at[span:], span)
-    return out
-
-
-def _gram_hashes(a: np.ndarray) -> np.ndarray:
-    """Of the GRAM bytes from each place."""
-    h = _spread(_BYTES[a], GRAM, lambda x, y, n: x[: len(y)] * np.uint64(pow(_BASE, n, 1 << 64)) + y[: len(x)])
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def _least(h: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least of some WINDOW neighbouring ones."""
-    if len(h) <= WINDOW:
-        return np.flatnonzero(h == h.min())
-    low = _spread(h, WINDOW, lambda x, y, n: np.minimum(x[: len(y)], y[: len(x)]))
-    edge = np.zeros(WINDOW - 1, np.uint64)
-    return np.flatnonzero(_spread(np.concatenate([edge, low, edge]), WINDOW, lambda x, y, n: np.maximum(x[: len(y)], y[: len(x)])) == h)
-
-
-def fingerprints(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes; of equal hashes that follow each other closely (repeated bytes) the ends and some between."""
-    a, last = np.frombuffer(raw, np.uint8), len(raw) - GRAM
-    if last < 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    places, hashes = [], []
-    for at in range(0, last + 1, SEGMENT):
-        begin = max(0, at - WINDOW)
-        h = _gram_hashes(a[begin : at + SEGMENT + WINDOW + GRAM])
-        keep = _least(h)
-        keep = np.union1d(keep, [0] * (begin == 0) + [last - begin] * (begin + len(h) > last)).astype(np.int64)
-        keep = keep[(keep + begin >= at) & (keep + begin < at + SEGMENT)]
-        places.append(keep + begin)
-        hashes.append(h[keep])
-    place, h = np.concatenate(places), np.concatenate(hashes)
-    fresh = np.append(True, h[1:] != h[:-1])
-    step = (place - place[fresh][np.cumsum(fresh) - 1]) // (GRAM // 2)
-    some = fresh | np.append(True, step[1:] != step[:-1])
-    some[:-1] |= fresh[1:]
-    some[-1] = True
-    return place[some], h[some]
-
-
-def _fingerprint_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        each = [fingerprints(raw) for raw in batch["raw"]]
-        count = [len(p) for p, _ in each]
-        own = []
-        for p, h in each:
-            _, first, of = np.unique(h, return_index=True, return_inverse=True)
-            earlier = p[first[of]] if len(p) else p
-            own.append(np.where(earlier < p, earlier, -1))
-        flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").repeat(count).array, "doc_key": batch["doc_key"].to_numpy().repeat(count), "h": flat([h for _, h in each], np.uint64).view(np.int64), "place": flat([p for p, _ in each], np.int64), "own": flat(own, np.int64)})
-
-
-def _around(raw: bytes, place: int) -> tuple[int, bytes]:
-    """The place within the bytes cut out, and the bytes: GRAM of them and WINDOW on each side."""
-    begin = max(0, place - WINDOW)
-    return place - begin, raw[begin : place + GRAM + WINDOW]
-
-
-def _context():
-    """h, at, around of every first place in a text."""
-
-    def of(text: str, found) -> list[dict]:
-        raw = text.encode()
-        return [dict(zip(("h", "at", "around"), (int(r["h"]), *_around(raw, int(r["place"]))))) for r in found]
-
-    @F.pandas_udf("array<struct<h:long,at:int,around:binary>>")
-    def context(texts: pd.Series, firsts: pd.Series) -> pd.Series:
-        return pd.Series([of(t, f) for t, f in zip(texts, firsts)], dtype=object)
-
-    return context
-
+GEAR_BYTES, RADIUS, MAX_CHUNK = 16, 24, 256
+MIN_RUN, CONTEXT = 120, 256
+#: Bytes that are hashed at once, and those on each side of them that decide about chunk ends.
+SEGMENT, MARGIN = 1 << 18, GEAR_BYTES + RADIUS
+_GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 #: Names that no table is likely to have.
 SPANS, KEY = "__citeforge_spans", "__citeforge_key"
+#: place * _PLACE + length of a chunk in one number.
+_PLACE = 1 << 10
+
+
+def _gear(a: np.ndarray) -> np.ndarray:
+    """Sum of the gear values of the GEAR_BYTES bytes up to each place, each shifted by its distance."""
+    h, span = np.take(_GEAR, a), 1
+    while span < GEAR_BYTES:
+        shifted = h << np.uint32(span)
+        h[span:] += shifted[:-span]
+        span *= 2
+    return h
+
+
+def _largest(h: np.ndarray, width: int) -> np.ndarray:
+    """The largest of `width` values from each place."""
+    at, span = h, 1
+    while 2 * span <= width:
+        at = np.maximum(at[:-span], at[span:])
+        span *= 2
+    n = len(h) - width + 1
+    return np.maximum(at[:n], at[width - span : width - span + n])
+
+
+def _ends(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """The places of each part whose hash is the largest around them (the first of equal ones, none where all are equal)."""
+    gap = MARGIN + 1
+    a = np.zeros(gap + sum(len(p) + gap for p in parts), np.uint8)
+    inside, begin, at = np.zeros(len(a), bool), [], gap
+    for p in parts:
+        a[at : at + len(p)] = p
+        inside[at : at + len(p)] = True
+        begin.append(at)
+        at += len(p) + gap
+    h = _gear(a) | np.uint32(1)
+    h[~inside] = 0
+    top = _largest(h, RADIUS)  # of RADIUS places from each
+    n = len(h) - 2 * RADIUS
+    here = h[RADIUS : RADIUS + n]
+    found = RADIUS + np.flatnonzero((here > top[:n]) & (here >= top[RADIUS + 1 : RADIUS + 1 + n]))
+    cut = np.searchsorted(found, [*begin, len(a)])
+    return [found[i:j] - b for i, j, b in zip(cut, cut[1:], begin)]
+
+
+def _divided(ends: np.ndarray) -> np.ndarray:
+    """The ends of chunks (0 first), with those of chunks above MAX_CHUNK divided."""
+    if (ends[1:] - ends[:-1]).max() <= MAX_CHUNK:
+        return ends[1:]
+    return np.concatenate([np.append(np.arange(s + MAX_CHUNK, e, MAX_CHUNK), e) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())])
+
+
+def chunk_ends(texts: list[bytes]) -> list[np.ndarray]:
+    """Where each chunk of each text ends; a text is hashed in segments, so its length does not count."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    parts, owners, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal parts, owners, held
+        for (k, start, end, lead), e in zip(owners, _ends(parts) if parts else []):
+            e = e - lead + start
+            found[k].append(e[(e >= start) & (e < end)] + 1)
+        parts, owners, held = [], [], 0
+
+    for k, raw in enumerate(texts):
+        a = np.frombuffer(raw, np.uint8)
+        for start in range(0, len(a), SEGMENT):
+            end, lead = min(len(a), start + SEGMENT), min(start, MARGIN)
+            parts.append(a[start - lead : end + MARGIN])
+            owners.append((k, start, end, lead))
+            held += len(parts[-1])
+            if held >= SEGMENT:
+                flush()
+    flush()
+    out = []
+    for f, raw in zip(found, texts):
+        ends = [np.zeros(1, np.int64), *f]
+        if not f or not len(f[-1]) or f[-1][-1] < len(raw):
+            ends.append(np.full(1, len(raw)))
+        out.append(_divided(np.concatenate(ends)) if raw else np.zeros(0, np.int64))
+    return out
 
 
-def repeated_fingerprints(keyed: DataFrame, text: str = "text") -> DataFrame:
-    """KEY, place, own (an earlier place in its text, or -1), first_doc_id, at, around (of the first place, null where
-    that is in the document itself): fingerprints with an earlier equal; places count bytes. `keyed` has KEY (of id and text)."""
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, rank, key, at of every chunk."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        texts, rank, key = batch["raw"].to_pylist(), batch["rank"].to_numpy(zero_copy_only=False), batch["key"].to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and held < SEGMENT:
+                held += len(texts[end])
+                end += 1
+            ends = chunk_ends(texts[at:end])
+            starts = [np.append(0, e[:-1]) if len(e) else e for e in ends]
+            count = [len(e) for e in ends]
+            hashes = [digest(raw[i:j]) for raw, s, e in zip(texts[at:end], starts, ends) for i, j in zip(s.tolist(), e.tolist())]
+            s, e = np.concatenate(starts), np.concatenate(ends)
+            columns = [np.array(hashes, np.uint64).view(np.int64), rank[at:end].repeat(count), key[at:end].repeat(count), s * _PLACE + (e - s)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "rank", "key", "at"])
+            at = end
+
+
+def _beside(raw: bytes, ask: int) -> bytes:
+    """The bytes before a place (ask is twice the place) or from it (and one more)."""
+    place = ask >> 1
+    return raw[place : place + CONTEXT] if ask & 1 else raw[max(0, place - CONTEXT) : place]
+
+
+def _answer():
+    @F.pandas_udf("array<struct<ask:long,beside:binary>>")
+    def answer(texts: pd.Series, asks: pd.Series) -> pd.Series:
+        return pd.Series([[{"ask": int(x), "beside": _beside(raw, int(x))} for x in found] for raw, found in ((t.encode(), a) for t, a in zip(texts, asks))], dtype=object)
+
+    return answer
+
+
+def repeated_runs(keyed: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+    """KEY, start, end (bytes), sources (ids), and skey, ask, side: each run of chunks with an earlier equal, a row for each of its
+    ends, with the place beside which its first copy goes on. `keyed` has KEY, a hash of id and text."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    long = keyed.where(F.octet_length(text) >= GRAM).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(KEY).alias("doc_key"), F.col(text).cast("binary").alias("raw"))
-    prints = long.mapInPandas(_fingerprint_rows, "doc_id long, doc_key long, h long, place long, own long")
-    first = prints.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(rank.alias("rank"), "doc_key", "place")).alias("f")).where("copies > 1")
-    by_doc = first.groupBy(F.col("f.doc_key").alias("doc_key")).agg(F.collect_list(F.struct("h", F.col("f.place").alias("place"))).alias("firsts"))
-    # the texts are dealt by KEY as for the spans, so that Spark can use one exchange for both; equal rows count once
-    holders = keyed.select("doc_id", text, KEY).join(by_doc, F.col(KEY) == F.col("doc_key")).withColumn("n", F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))).where("n = 1")
-    known = holders.select(rank.alias("first_rank"), F.explode(_context()(text, "firsts")).alias("c")).select("first_rank", "c.*")
-    other = rank != F.col("first_rank")
-    met = prints.join(known, "h").where(other | (F.col("own") >= 0))
-    return met.select(F.col("doc_key").alias(KEY), "place", "own", F.when(F.col("first_rank") != -(1 << 63), F.col("first_rank")).alias("first_doc_id"), "at", F.when(other, F.col("around")).alias("around"))
+    long = keyed.where(F.octet_length(text) >= min_run).select(rank.alias("rank"), F.col(KEY).alias("key"), F.col(text).cast("binary").alias("raw"))
+    chunks = long.mapInArrow(_chunk_rows, "h long, rank long, key long, at long")
+    first = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "key", "at")).alias("f")).where("n > 1").select("h", F.col("f.rank").alias("rank0"), F.col("f.key").alias("key0"), F.col("f.at").alias("at0"))
+    met = chunks.select("h", "key", "at").join(first, "h").where("key <> key0 or at <> at0")
+    place, size = lambda c: F.shiftright(c, 10), lambda c: F.col(c).bitwiseAND(_PLACE - 1)
+    # equal rows of the table have equal KEYs: one of them is enough
+    met = met.dropDuplicates(["key", "at"]).select("key", place("at").alias("place"), size("at").alias("size"), "rank0", "key0", place("at0").alias("place0"))
+    in_doc = Window.partitionBy("key").orderBy("place")
+    met = met.withColumn("fresh", F.coalesce((F.lag(F.col("place") + F.col("size")).over(in_doc) != F.col("place")).cast("int"), F.lit(1)))
+    met = met.withColumn("run", F.sum("fresh").over(in_doc))
+    source = F.when(F.col("rank0") != -(1 << 63), F.col("rank0"))
+    runs = met.groupBy("key", "run").agg(
+        F.min("place").alias("start"),
+        F.max(F.col("place") + F.col("size")).alias("end"),
+        F.collect_set(source).alias("sources"),
+        F.min(F.struct("place", F.col("key0").alias("skey"), (F.col("place0") * 2).alias("ask"))).alias("left"),
+        F.max(F.struct("place", F.col("key0").alias("skey"), ((F.col("place0") + F.col("size")) * 2 + 1).alias("ask"))).alias("right"),
+    )
+    sides = F.array(*[F.struct(F.col(f"{c}.skey").alias("skey"), F.col(f"{c}.ask").alias("ask")) for c in ("left", "right")])
+    return runs.select(F.col("key").alias(KEY), "start", "end", "sources", F.posexplode(sides).alias("side", "s")).select(KEY, "start", "end", F.when(F.col("side") == 0, F.col("sources")).alias("sources"), "side", "s.skey", "s.ask")
 
 
 def _alike(a: bytes, b: bytes, order: str) -> int:
@@ -147,70 +189,81 @@ def _alike(a: bytes, b: bytes, order: str) -> int:
     return ((x & -x).bit_length() - 1) // 8
 
 
-def _stretch(raw: bytes, place: int, at: int, around: bytes) -> tuple[int, int] | None:
-    """Begin and end of what raw shares with the bytes around a first place; None where only the hashes are equal."""
-    if raw[place : place + GRAM] != around[at : at + GRAM]:
-        return None
-    left, right = min(place, at), min(len(raw) - place, len(around) - at)
-    return place - _alike(raw[place - left : place], around[at - left : at], "big"), place + _alike(raw[place : place + right], around[at : at + right], "little")
-
-
 def _begins(raw: bytes, place: int) -> bool:
     return place == len(raw) or raw[place] & 0xC0 != 0x80
 
 
-_RESULT = "struct<text:string,n_chars:long,removed_chars:long,n_repeats:long,spans:array<struct<start:long,end:long,first_doc_id:long>>>"
+_SPAN = "struct<start:long,end:long,first_doc_ids:array<long>>"
+_RESULT = f"struct<text:string,removed_chars:long,spans:array<{_SPAN}>>"
+
+
+def _stretches(raw: bytes, sides) -> list[list]:
+    """start, end, ids of each run, extended at both ends, those that meet joined."""
+    runs: dict[int, list] = {}
+    for r in sides:
+        run = runs.setdefault(int(r["start"]), [int(r["start"]), int(r["end"]), []])
+        beside = r["beside"] or b""
+        if r["side"] == 0:
+            n = min(len(beside), int(r["start"]))
+            run[0] -= _alike(raw[int(r["start"]) - n : int(r["start"])], beside[len(beside) - n :], "big")
+            run[2] = [int(x) for x in r["sources"]]
+        else:
+            n = min(len(beside), len(raw) - int(r["end"]))
+            run[1] += _alike(raw[int(r["end"]) : int(r["end"]) + n], beside[:n], "little")
+    out: list[list] = []
+    for run in sorted(runs.values(), key=lambda r: r[:2]):
+        if out and run[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], run[1])
+            out[-1][2] += run[2]
+        else:
+            out.append(run)
+    for r in out:
+        while not _begins(raw, r[0]):
+            r[0] += 1
+        while not _begins(raw, r[1]):
+            r[1] -= 1
+    return out
 
 
 def _cut(min_run: int):
-    def of(text: str | None, found) -> tuple:
-        if text is None or found is None or not len(found):
-            return text, len(text or ""), 0, 0, []
+    def of(text: str | None, sides) -> tuple:
+        if text is None:
+            return None, 0, []
         raw = text.encode()
-        stretches = []
-        for r in found:
-            at, around = (r["at"], r["around"]) if r["around"] is not None else _around(raw, int(r["own"]))
-            if (shared := _stretch(raw, int(r["place"]), int(at), around)) is not None:
-                stretches.append((*shared, r["first_doc_id"]))
-        runs: list[list] = []
-        for start, end, first in sorted(stretches, key=lambda r: (r[0], -r[1])):
-            if runs and start <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], end)
-            else:
-                runs.append([start, end, first])
-        for r in runs:  # a character is cut as a whole
-            while not _begins(raw, r[0]):
-                r[0] += 1
-            while not _begins(raw, r[1]):
-                r[1] -= 1
-        runs = [r for r in runs if r[1] - r[0] >= min_run]
-        if not runs:
-            return text, len(text), 0, 0, []
         kept, spans, at, chars = [], [], 0, 0
-        for start, end, first in runs:
+        for start, end, ids in _stretches(raw, sides):
+            if end - start < min_run:
+                continue
             kept.append(raw[at:start].decode())
             chars += len(kept[-1])
             gone = len(raw[start:end].decode())
-            spans.append({"start": chars, "end": chars + gone, "first_doc_id": first})
+            spans.append({"start": chars, "end": chars + gone, "first_doc_ids": sorted(set(ids))})
             chars, at = chars + gone, end
         kept.append(raw[at:].decode())
-        out = "".join(kept)
-        return out, len(text), len(text) - len(out), len(spans), spans
+        return "".join(kept), sum(s["end"] - s["start"] for s in spans), spans
 
     @F.pandas_udf(_RESULT)
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in batches:
-            yield pd.DataFrame([of(t, s) for t, s in zip(texts, spans)], columns=["text", "n_chars", "removed_chars", "n_repeats", "spans"])
+        for texts, sides in batches:
+            yield pd.DataFrame([of(t, s) for t, s in zip(texts, sides)], columns=["text", "removed_chars", "spans"])
 
     return cut
 
 
 def deduplicate(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
-    """The rows with a struct column SPANS: the text without repeats, sizes, and the spans (in characters) removed."""
+    """The rows with a struct column SPANS: the text without repeats, removed_chars, and the spans (in characters) removed."""
     keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col(text)))
-    found = repeated_fingerprints(keyed, text).groupBy(KEY).agg(F.collect_list(F.struct("place", "own", "first_doc_id", "at", "around")).alias(SPANS))
-    met = keyed.join(found, KEY, "left").drop(KEY)
-    return met.withColumn(SPANS, _cut(min_run)(F.col(text), F.col(SPANS)))
+    sides = repeated_runs(keyed, text, min_run)
+    asks = sides.groupBy("skey").agg(F.collect_set("ask").alias("asks"))
+    # the texts are dealt by KEY here and below, so that Spark can use one exchange for both
+    asked = keyed.select(KEY, text).join(asks, F.col(KEY) == F.col("skey")).select("skey", F.explode(_answer()(text, "asks")).alias("a"))
+    answers = asked.select("skey", "a.ask", "a.beside").dropDuplicates(["skey", "ask"])
+    found = sides.join(answers, ["skey", "ask"]).groupBy(KEY).agg(F.collect_list(F.struct("start", "end", "side", "sources", "beside")).alias(SPANS))
+    met = keyed.join(found, KEY, "left")
+    cut = _cut(min_run)(F.when(F.col(SPANS).isNotNull(), F.col(text)), F.col(SPANS))
+    out = met.withColumn(SPANS, cut).drop(KEY)
+    s = F.col(SPANS)
+    return out.withColumn(SPANS, F.struct(F.coalesce(s["text"], F.col(text)).alias("text"), s["removed_chars"].alias("removed_chars"), s["spans"].alias("spans")))
 
 
 def clean(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:

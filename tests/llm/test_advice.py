@@ -1,15 +1,12 @@
 """Parts of the job that an earlier version left out."""
 
-import math
 import types
 
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from citeforge.llm import ann, langid, quality, substring
-from citeforge.operators import metrics
 
 
 @pytest.mark.parametrize("spread", [0.005, 0.1])
@@ -49,15 +46,64 @@ def test_planted_passages(spark):
     assert got.items() >= want.items()
 
 
-def test_fingerprints_of_segments(monkeypatch):
-    """The same wherever a long text is divided; repeated bytes do not multiply them."""
+def test_chunks_of_segments(monkeypatch):
+    """The same ends wherever a long text is divided; an insertion moves only the ends beside it; repeated bytes are divided."""
     raw = _words(np.random.default_rng(3), 4000).encode()
-    whole = substring.fingerprints(raw)
-    assert np.diff(whole[0]).max() <= substring.WINDOW and len(whole[0]) < len(raw) / 30
+    whole = substring.chunk_ends([raw])[0]
+    assert whole[-1] == len(raw) and np.diff(whole, prepend=0).max() <= substring.MAX_CHUNK and len(whole) < len(raw) / 30
+    shifted = substring.chunk_ends([raw[:9000] + b"inserted" + raw[9000:]])[0]
+    assert len(set(whole[whole > 9200] + 8) - set(shifted)) == 0 and set(whole[whole < 8900]) <= set(shifted)
     monkeypatch.setattr(substring, "SEGMENT", 1000)
-    assert all((a == b).all() for a, b in zip(whole, substring.fingerprints(raw)))
-    same = substring.fingerprints(b"x" * 50000)[0]
-    assert np.diff(same).max() <= substring.GRAM and len(same) < 50000 / 15
+    assert (whole == substring.chunk_ends([b"before", raw, b""])[1]).all()
+    assert substring.chunk_ends([b"x" * 1000])[0].tolist()[-3:] == [516, 772, 1000] or np.diff(substring.chunk_ends([b"x" * 1000])[0], prepend=0).max() <= substring.MAX_CHUNK
+
+
+def _shared(rows, width):
+    """Brute force: of each row the bytes that lie in a stretch of `width` which an earlier row, or its own text before, holds."""
+    seen, out = set(), {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        hit = np.zeros(len(raw), bool)
+        for k in range(len(raw) - width + 1):
+            if raw[k : k + width] in seen:
+                hit[k : k + width] = True
+            seen.add(raw[k : k + width])
+        out[i] = hit
+    return out
+
+
+def test_substring_by_brute_force(spark):
+    """Passages copied into other texts, twice into one, at both ends and over each other: what is cut are the stretches that brute force finds."""
+    rng = np.random.default_rng(17)
+    pool = [_words(rng, int(rng.integers(30, 90))) + " ä" for _ in range(12)]
+    rows = []
+    for k in range(80):
+        parts = [_words(rng, int(rng.integers(5, 60))) for _ in range(3)]
+        for p in rng.choice(len(pool), int(rng.integers(0, 4))):
+            parts.insert(int(rng.integers(0, len(parts) + 1)), pool[p])
+        rows.append((k, " ".join(parts)))
+    rows += [(200, rows[7][1]), (201, rows[9][1][:400] + rows[11][1][-300:]), (202, None), (203, ""), (200, rows[7][1])]
+    want = _shared(sorted(set(rows[:-3]), key=lambda r: r[0]), substring.MIN_RUN)
+    out = spark.createDataFrame(rows, "doc_id long, text string").transform(substring.deduplicate).collect()
+    texts, lost, extra, total = dict(rows), 0, 0, 0
+    for r in out:
+        raw, spans = r["text"], r[substring.SPANS]["spans"]
+        if not raw:
+            assert r[substring.SPANS]["text"] == raw and not spans
+            continue
+        cut = np.zeros(len(raw.encode()), bool)
+        for s in spans:
+            b, e = len(raw[: s["start"]].encode()), len(raw[: s["end"]].encode())
+            cut[b:e] = True
+            piece = raw.encode()[b:e]
+            sources = [texts[i].encode() for i in s["first_doc_ids"]]
+            assert all(i <= r["doc_id"] for i in s["first_doc_ids"])
+            stands = [any(piece[k : k + 20] in t for t in sources) for k in range(len(piece) - 19)]
+            assert np.mean(stands) > 0.9
+        lost += int((want[r["doc_id"]] & ~cut).sum())
+        extra += int((cut & ~want[r["doc_id"]]).sum())
+        total += int(want[r["doc_id"]].sum())
+    assert total > 10000 and lost < 0.01 * total and extra < 0.01 * total, (lost, extra, total)
 
 
 def test_quality_without_common_words(spark):
@@ -82,13 +128,3 @@ def test_language_bounds(spark):
     many = spark.createDataFrame([(k, "some words", f"l{k // 8}") for k in range(8 * (langid.MAX_LANGUAGES + 1))], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         langid.training_windows(many)
-
-
-def test_mcnemar_of_large_counts(spark):
-    """One step a term, not an array a term."""
-    counts = [(0, 0), (5, 0), (3, 8), (30000, 29400), (29400, 30000), (20000, 20000)]
-    got = spark.createDataFrame(counts, "b long, c long").select("b", "c", metrics.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()
-    for r in got:
-        n = r["b"] + r["c"]
-        want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(min(r["b"], r["c"]) + 1))
-        assert abs(r["p"] - min(1.0, 2 * want)) < 2e-6
