@@ -14,16 +14,18 @@ def _quoted(words) -> str:
 
 _COUNT = "length(regexp_replace(text, '[^{0}]', '', 'g'))"
 #: In the order of quality.CLASSES.
-_CHARS = [_COUNT.format("a-z"), _COUNT.format("A-Z"), _COUNT.format("0-9"), _COUNT.format(r"\x20\x09-\x0D"), r"length(regexp_replace(text, '[a-zA-Z0-9\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g'))", r"length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))"]
+_CHARS = [_COUNT.format(c) for c in ("a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r""".,;:!?'"()\-""".replace("'", "''"))]
+_CHARS += [r"""length(regexp_replace(text, '[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()\-]|[^\x00-\x7F]', '', 'g'))"""]
+_CHARS += [_COUNT.format(c) for c in (r"\x{80}-\x{BF}", r"\x{C0}-\x{FF}", r"\x{100}-\x{27F}", r"\x{280}-\x{7FF}", r"\x{800}-\x{1FFF}", r"\x{2000}-\x{2FFF}", r"\x{3000}-\x{FFFF}", r"\x{10000}-\x{10FFFF}")]
 
 
 def _js(doc: str, lang: str, bins: str) -> str:
-    """doc(doc_id, bin, n) against lang(lang, bin, n): the least distance over languages; documents without any are at 1."""
-    return f"""(SELECT doc_id, min(d) AS d FROM (
+    """doc(doc_id, bin, n) against lang(lang, bin, n): the distance d of each document and language."""
+    return f"""(
     SELECT doc_id, lang, sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d FROM (
         SELECT t.doc_id, l.lang, b.bin, coalesce(d.n, 0)::DOUBLE / t.total AS p, coalesce(r.n, 0)::DOUBLE / l.total AS q
         FROM (SELECT doc_id, sum(n) AS total FROM {doc} GROUP BY doc_id) t CROSS JOIN (SELECT lang, sum(n) AS total FROM {lang} GROUP BY lang) l CROSS JOIN {bins} b
-        LEFT JOIN {doc} d ON d.doc_id = t.doc_id AND d.bin = b.bin LEFT JOIN {lang} r ON r.lang = l.lang AND r.bin = b.bin) GROUP BY doc_id, lang) GROUP BY doc_id)"""
+        LEFT JOIN {doc} d ON d.doc_id = t.doc_id AND d.bin = b.bin LEFT JOIN {lang} r ON r.lang = l.lang AND r.bin = b.bin) GROUP BY doc_id, lang)"""
 
 
 _QUALITY = f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, text IS NULL AS gone FROM documents),
@@ -42,11 +44,17 @@ word_doc AS (SELECT doc_id, lang, coalesce(bin, {len(quality.COMMON)}) AS bin, c
 word_lang AS (SELECT lang, bin, sum(n) AS n FROM word_doc WHERE lang IS NOT NULL GROUP BY ALL),
 word_bins AS (SELECT unnest(range({len(quality.COMMON) + 1})) AS bin),
 char_sum AS (SELECT doc_id, bin, n FROM char_doc WHERE doc_id IN (SELECT doc_id FROM base WHERE n_words > 0)), word_sum AS (SELECT doc_id, bin, n FROM word_doc),
+lang AS (SELECT lang, o AS others, sqrt((log2(2 / (1 + o)) + CASE WHEN o > 0 THEN o * log2(2 * o / (1 + o)) ELSE 0 END + (1 - o)) / 2) AS no_word
+    FROM (SELECT lang, coalesce(sum(n) FILTER (bin = {len(quality.COMMON)}), 0)::DOUBLE / sum(n) AS o FROM word_lang GROUP BY lang)),
+own AS (SELECT doc_id, coalesce(sum(n) FILTER (bin = {len(quality.COMMON)}), 0)::DOUBLE / sum(n) AS others FROM word_sum GROUP BY doc_id),
 cd AS {_js('char_sum', 'char_lang', 'char_bins')}, wd AS {_js('word_sum', 'word_lang', 'word_bins')},
+near AS (SELECT cd.doc_id, cd.d AS dc, wd.d AS dw, no_word, lang.others AS usual, own.others FROM cd JOIN wd ON cd.doc_id = wd.doc_id AND cd.lang = wd.lang JOIN lang ON lang.lang = cd.lang JOIN own ON own.doc_id = cd.doc_id
+    QUALIFY row_number() OVER (PARTITION BY cd.doc_id ORDER BY cd.d + wd.d, cd.lang) = 1),
 flag AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM base)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-    NOT base_failed AND NOT coalesce(word_chars >= {quality.MIN_CHARS} AND cd.d > {quality.MAX_CHAR_DISTANCE}, false) AND NOT coalesce(n_words >= {quality.MIN_JS_WORDS} AND wd.d > {quality.MAX_WORD_DISTANCE}, false) AS kept
-FROM flag LEFT JOIN cd USING (doc_id) LEFT JOIN wd USING (doc_id)"""
+    NOT base_failed AND NOT coalesce(word_chars >= {quality.MIN_CHARS} AND dc > {quality.MAX_CHAR_DISTANCE}, false)
+    AND NOT coalesce(n_words >= {quality.MIN_JS_WORDS} AND no_word >= {quality.MIN_NO_WORD} AND dw > {quality.NO_WORD_SHARE} * no_word AND others > usual, false) AS kept
+FROM flag LEFT JOIN near USING (doc_id)"""
 
 _CRC = "list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 _SHARD = f"""WITH bytes AS (SELECT doc_id, source, text, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS digest, strlen(coalesce(text, '')) + 1 AS size,

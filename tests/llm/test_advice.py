@@ -121,6 +121,33 @@ def test_quality_without_common_words(spark):
     assert of([(k, prose(en, 0), "xx") for k in range(5)]) == set(range(5))
 
 
+def test_quality_rejects_what_is_far(spark):
+    """Shuffled letters, base64, a script that no reference has, symbols between words and word tables go; clean texts stay."""
+    import base64
+
+    rng = np.random.default_rng(23)
+    common = {"en": "the of and to in is that for it as with was".split(), "de": "der die das und den von zu mit sich auf ist nicht".split()}
+
+    def prose(lang, n=150):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.25 else _words(rng, 1) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+
+    clean = [(k, prose("de" if k % 2 else "en"), "de" if k % 2 else "en") for k in range(60)]
+    text = clean[0][1]
+    words = text.split()
+    junk = [
+        " ".join("".join(rng.permutation(list(w))) + "x" for w in words),
+        " ".join(base64.b64encode(rng.bytes(30)).decode() for _ in range(80)),
+        " ".join("".join(map(chr, rng.integers(0x430, 0x450, 6))) for _ in range(80)),
+        " ".join(w + "&&&" for w in words),
+        " | ".join(_words(rng, 1) for _ in range(150)),
+    ]
+    rows = clean + [(100 + k, t, None) for k, t in enumerate(junk)] + [(200, text[:250], None)]
+    out = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([out[k]["kept"] for k, _, _ in clean]) > 0.9
+    assert [out[100 + k]["kept"] for k in range(len(junk))] == [False] * len(junk)
+    assert not any(out[100 + k]["base_failed"] for k in range(len(junk)))
+
+
 def test_language_bounds(spark):
     """Without a model texts with letters stay; more languages than the bound are an error."""
     plain = spark.createDataFrame([(1, "some words", None), (2, "123 !", None), (3, None, None)], "doc_id long, text string, lang string")
