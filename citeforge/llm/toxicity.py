@@ -1,15 +1,21 @@
 """Toxic spans by a linear-chain conditional random field over tokens, and document scores from its marginals.
 
-Only documents are labelled, so token labels come first: a ridge logistic regression finds the words that mark
-toxic documents (`toxic_words`); in toxic documents they label the tokens of the training windows. The field has two states, emission weights for the token, its first letters and its
-neighbours, and transition weights; it is trained by gradient ascent on the conditional likelihood
-(forward-backward). A document's score is a logistic function, fitted on the training documents, of the largest
+Only documents are labelled, so tokens get soft labels: of a clean document's tokens none is toxic, of a toxic document's
+at least one. The first labels come from a ridge logistic regression on the words of a document (`word_weights`): a token
+of a toxic document is toxic with 1 - exp(-weight), however small. The field has two states, emission weights for the token, its
+first letters and its neighbours, and transition weights; it is trained by gradient ascent on the expected likelihood
+of the soft labels (forward-backward). Then `ROUNDS` times its own marginals, given that a toxic document has a toxic
+token somewhere (their exact posterior: less the path without any), label the tokens anew and it is trained again. So
+neighbours, first letters and transitions move labels, and a word that its company explains loses them; no word list decides.
+
+A document's score is a logistic function, fitted on the training documents, of the largest
 marginal and of the expected number of toxic tokens; the offending tokens are those with a marginal of 1/2 or
 more, given with their character offsets.
 
-Training sample, a documented bound: at most `SAMPLE_PER_CLASS` rows of each label, chosen by a hash of the id among
+Training sample, documented bounds: at most `SAMPLE_PER_CLASS` rows of each label, chosen by a hash of the id among
 rows whose crc32(id) mod 5 is not 0; of each, at most `TRAIN_WINDOWS` windows of `WINDOW` tokens evenly spread over
-the whole text; equal texts count once.
+the whole text; equal texts count once. The field itself is fitted on the `TOXIC_WINDOWS` windows of a toxic document that
+hold the likeliest tokens, and on at most `NEGATIVE_WINDOWS` windows of clean ones; the score on all.
 
 Cases: a null or empty text has no tokens and gets the score of no evidence; without both labels in the training
 rows every score is 0; several labels for one id count as their largest; null labels and null ids are not
@@ -32,10 +38,10 @@ from citeforge.llm.common import is_training
 
 WINDOW, TRAIN_WINDOWS = 32, 64
 SAMPLE_PER_CLASS = 2000
-MIN_SUPPORT, MIN_LOG_ODDS, WEIGHT_SHARE = 4, 2.0, 0.6
+MIN_SUPPORT = 4
 LOGISTIC_L2, LOGISTIC_STEPS = 2.0, 150
-MIN_DF, EPOCHS, RATE, L2, SEED = 4, 60, 0.3, 1e-4, 11
-NEGATIVE_WINDOWS = 4000
+MIN_DF, EPOCHS, RATE, L2, SEED = 4, 40, 0.3, 1e-6, 11
+ROUNDS, TOXIC_WINDOWS, NEGATIVE_WINDOWS = 2, 4, 4000
 TOKEN = re.compile(r"\w+")
 
 
@@ -43,14 +49,13 @@ def tokens_of(text: str) -> list[str]:
     return list(map(str.lower, TOKEN.findall(text)))
 
 
-def toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Words that mark toxic documents: a ridge logistic regression on the words of a document shares the evidence
-    out, so that words which only accompany others (copies of one toxic text) stay low. Kept are words with at
-    least WEIGHT_SHARE of the largest weight and log odds of MIN_LOG_ODDS or more."""
-    in_toxic, in_clean = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    names = sorted(w for w in in_toxic if in_toxic[w] + in_clean[w] >= MIN_SUPPORT)
+def word_weights(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+    """What each word adds to the log odds of a toxic document: a ridge logistic regression shares the evidence out, so
+    that words which only accompany others (copies of one toxic text) stay low. Only positive weights are given."""
+    seen = Counter(w for d in toxic + clean for w in d)
+    names = sorted(w for w in set().union(*toxic) if seen[w] >= MIN_SUPPORT)
     if not names or not clean:
-        return []
+        return {}
     place = {w: k for k, w in enumerate(names)}
     sets = toxic + clean
     y = np.repeat([1.0, 0.0], [len(toxic), len(clean)])
@@ -64,9 +69,7 @@ def toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         weight += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         bias += 0.5 * float((y - p).mean())
-    n, k = len(toxic) + 1, len(clean) + 1
-    odds = [math.log((in_toxic[w] + 0.5) / n) - math.log((in_clean[w] + 0.5) / k) for w in names]
-    return [w for w, o, x in zip(names, odds, weight) if x > 0 and x >= WEIGHT_SHARE * weight.max() and o >= MIN_LOG_ODDS]
+    return {w: float(x) for w, x in zip(names, weight) if x > 0}
 
 
 class ToxicField:
@@ -77,6 +80,7 @@ class ToxicField:
         self.heads: dict[str, int] = {}
         self.token = self.head = self.before = self.after = np.zeros(1)
         self.bias, self.trans, self.start = 0.0, np.zeros((2, 2)), np.zeros(2)
+        self.leak = 0.3
         self.doc = np.array([-50.0, 0.0, 0.0])
 
     def ids(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +94,8 @@ class ToxicField:
         e[:, :-1] += self.after[w[:, 1:]]
         return np.where(valid, e, 0.0)
 
-    def forward_backward(self, e: np.ndarray, valid: np.ndarray):
-        """Marginals [n, length, 2], pair marginals summed over places [n, 2, 2], log partition [n]."""
+    def forward_backward(self, e: np.ndarray, valid: np.ndarray, weight: np.ndarray | None = None):
+        """Marginals [n, length, 2], pair marginals summed over places and (weighted) chains [2, 2], log partition [n]."""
         n, length = e.shape
         psi = np.ones((n, length, 2))
         top = np.maximum(e, 0)
@@ -111,48 +115,74 @@ class ToxicField:
         marginal = alpha * beta
         marginal /= marginal.sum(axis=2, keepdims=True)
         into = beta[:, 1:] * psi[:, 1:] / scale[:, 1:, None] * valid[:, 1:, None]
-        pairs = np.einsum("nti,ij,ntj->ij", alpha[:, :-1], step, into)
+        if weight is not None:
+            into = into * weight[:, None, None]
+        pairs = np.einsum("nti,ntj->ij", alpha[:, :-1], into) * step
         return marginal, pairs, np.log(scale).sum(axis=1) + np.where(valid, top, 0).sum(axis=1)
 
-    def fit(self, w: np.ndarray, h: np.ndarray, y: np.ndarray, valid: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> list[float]:
-        """Adam on the mean log likelihood of labels y [n, length]."""
-        params = {"token": np.zeros(len(self.words) + 1), "head": np.zeros(len(self.heads) + 1), "before": np.zeros(len(self.words) + 1), "after": np.zeros(len(self.words) + 1), "bias": np.zeros(1), "trans": np.zeros((2, 2)), "start": np.zeros(2)}
-        m, v, out = {k: np.zeros_like(a) for k, a in params.items()}, {k: np.zeros_like(a) for k, a in params.items()}, []
-        gold = np.where(valid, y, 0)
-        pair_gold = np.zeros((2, 2))
-        both = valid[:, 1:]
-        for i in (0, 1):
-            for j in (0, 1):
-                pair_gold[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
-        start_gold = np.bincount(y[:, 0][valid[:, 0]], minlength=2)
+    NAMES = ("token", "head", "before", "after", "bias", "trans", "start")
+
+    def parameters(self) -> dict[str, np.ndarray]:
+        return {k: np.atleast_1d(np.array(getattr(self, k), float)) for k in self.NAMES}
+
+    def assign(self, params: dict[str, np.ndarray]) -> None:
+        for k in self.NAMES:
+            setattr(self, k, params[k])
+        self.bias = float(params["bias"][0])
+
+    def gradient(self, w: np.ndarray, h: np.ndarray, valid: np.ndarray, gold: np.ndarray, pair_gold: np.ndarray, start_gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Expected log likelihood a token, and its gradient, for expected labels [n, length], pairs [2, 2] and starts [2]."""
+        e = self.emissions(w, h, valid)
+        marginal, pairs, log_z = self.forward_backward(e, valid)
         n = float(valid.sum())
+        path = (e * gold).sum() + (pair_gold * self.trans).sum() + (start_gold * self.start).sum()
+        d = np.where(valid, gold - marginal[:, :, 1], 0.0)
+        g = {
+            "token": np.bincount(w.ravel(), d.ravel(), len(self.words) + 1),
+            "head": np.bincount(h.ravel(), d.ravel(), len(self.heads) + 1),
+            "before": np.bincount(w[:, :-1].ravel(), d[:, 1:].ravel(), len(self.words) + 1),
+            "after": np.bincount(w[:, 1:].ravel(), d[:, :-1].ravel(), len(self.words) + 1),
+            "bias": np.array([d.sum()]),
+            "trans": pair_gold - pairs,
+            "start": start_gold - marginal[:, 0][valid[:, 0]].sum(axis=0),
+        }
+        for k in ("token", "head", "before", "after"):
+            g[k][0] = 0.0  # what training has not seen has no weight
+        return float((path - log_z.sum()) / n), {k: a / n for k, a in g.items()}
+
+    def fit(self, w: np.ndarray, h: np.ndarray, valid: np.ndarray, gold: np.ndarray, pair_gold: np.ndarray, start_gold: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> list[float]:
+        """Adam on the expected log likelihood, less a ridge, from the present weights."""
+        params = self.parameters()
+        m, v, out = {k: np.zeros_like(a) for k, a in params.items()}, {k: np.zeros_like(a) for k, a in params.items()}, []
         for epoch in range(1, epochs + 1):
-            self.token, self.head, self.before, self.after, self.trans, self.start = (params[k] for k in ("token", "head", "before", "after", "trans", "start"))
-            self.bias = float(params["bias"][0])
-            e = self.emissions(w, h, valid)
-            marginal, pairs, log_z = self.forward_backward(e, valid)
-            path = (e * gold).sum() + (pair_gold * self.trans).sum() + (start_gold * self.start).sum()
-            out.append(float((log_z.sum() - path) / n))
-            d = np.where(valid, gold - marginal[:, :, 1], 0.0)
-            g = {
-                "token": np.bincount(w.ravel(), d.ravel(), len(params["token"])),
-                "head": np.bincount(h.ravel(), d.ravel(), len(params["head"])),
-                "before": np.bincount(w[:, :-1].ravel(), d[:, 1:].ravel(), len(params["before"])),
-                "after": np.bincount(w[:, 1:].ravel(), d[:, :-1].ravel(), len(params["after"])),
-                "bias": np.array([d.sum()]),
-                "trans": pair_gold - pairs,
-                "start": start_gold - marginal[:, 0][valid[:, 0]].sum(axis=0),
-            }
-            for k in ("token", "head", "before", "after"):
-                g[k][0] = 0.0  # what training has not seen has no weight
+            value, g = self.gradient(w, h, valid, gold, pair_gold, start_gold)
+            out.append(value)
             for k, a in g.items():
-                a = a / n - L2 * params[k]
+                a = a - L2 * params[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.99 * v[k] + 0.01 * a * a
                 params[k] = params[k] + rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.99**epoch)) + 1e-8)
-        self.token, self.head, self.before, self.after, self.trans, self.start = (params[k] for k in ("token", "head", "before", "after", "trans", "start"))
-        self.bias = float(params["bias"][0])
+            self.assign(params)
         return out
 
+    def labels(self, w: np.ndarray, h: np.ndarray, valid: np.ndarray, doc: np.ndarray):
+        """Expected labels, pairs and starts of chains; `doc` is the number of a document labelled toxic, or -1 for chains of
+        clean documents, which have no toxic token. A label is due to a toxic token, or (`leak`, estimated here too) to none."""
+        e = self.emissions(w, h, valid)
+        length, toxic = valid.sum(axis=1), doc >= 0
+        none = self.start[0] + (length - 1) * self.trans[0, 0] - self.forward_backward(e, valid)[2]  # log chance of no toxic token
+        free = np.exp(np.minimum(np.bincount(doc[toxic], none[toxic]), 0.0))  # of each document
+        chance = 1 - free + self.leak * free
+        scale, empty = np.zeros(len(doc)), np.ones(len(doc))
+        scale[toxic] = (1 / chance)[doc[toxic]]
+        empty[toxic] = ((self.leak - 1) * free / chance)[doc[toxic]]  # weight of the path without a toxic token, beside `scale`
+        without, clean = (self.leak * free / chance).sum(), (~toxic).sum() / TOXIC_WINDOWS
+        self.leak = float(np.clip(without / (without + clean), 0.01, 0.9))
+        marginal, pairs, _ = self.forward_backward(e, valid, scale)
+        gold = np.where(valid, np.minimum(marginal[:, :, 1] * scale[:, None], 1.0), 0.0)
+        pairs[0, 0] += (empty * (length - 1)).sum()
+        start = np.array([len(doc) - gold[:, 0].sum(), gold[:, 0].sum()])
+        return gold, pairs, start
+
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Of state 1 for the tokens of each text; chains are windows of WINDOW tokens."""
         starts, at = [], 0
@@ -223,25 +253,33 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> ToxicField:
         return field
     windows = [[w.split() for w in t.split("\n")] for t in rows["windows"]]
     sets = [set().union(*d) for d in windows]
-    bad = set(toxic_words([s for s, k in zip(sets, y) if k], [s for s, k in zip(sets, y) if not k]))
+    weight = word_weights([s for s, k in zip(sets, y) if k], [s for s, k in zip(sets, y) if not k])
+    chance = {w: 1 - math.exp(-x) for w, x in weight.items()}
     df = Counter(w for s in sets for w in s)
-    field.words = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_DF or w in bad), 1)}
+    field.words = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_DF), 1)}
     heads = Counter(h for s in sets for h in {w[:4] for w in s})
     field.heads = {w: i for i, w in enumerate(sorted(w for w, n in heads.items() if n >= 50), 1)}
-    marked = [(w, any(t in bad for t in w) if k else False) for d, k in zip(windows, y) for w in d if w]
-    with_bad = [w for w, hit in marked if hit]
-    without = [w for w, hit in marked if not hit]
-    rng = np.random.default_rng(SEED)
-    without = [without[k] for k in rng.permutation(len(without))[:NEGATIVE_WINDOWS]]
-    flagged = len(with_bad)
-    chains = [w[:WINDOW] for w in (with_bad + without)]
-    w, h, gold, valid = (np.zeros((len(chains), WINDOW), t) for t in (np.int32, np.int32, np.int64, bool))
+    zeros = lambda names: np.zeros(len(names) + 1)
+    field.token, field.head, field.before, field.after = zeros(field.words), zeros(field.heads), zeros(field.words), zeros(field.words)
+    chains, of = [], []
+    for d in (d for d, k in zip(windows, y) if k):
+        likely = sorted((w for w in d if w), key=lambda w: -max(chance.get(t, 0.0) for t in w))
+        chains += likely[:TOXIC_WINDOWS]
+        of += [of[-1] + 1 if of else 0] * len(likely[:TOXIC_WINDOWS])
+    clean = [w for d, k in zip(windows, y) if not k for w in d if w]
+    clean = [clean[k] for k in np.random.default_rng(SEED).permutation(len(clean))[:NEGATIVE_WINDOWS]]
+    chains, doc = chains + clean, np.array(of + [-1] * len(clean), np.int64)
+    w, h, gold, valid = (np.zeros((len(chains), WINDOW), t) for t in (np.int32, np.int32, float, bool))
     for k, c in enumerate(chains):
         w[k, : len(c)], h[k, : len(c)] = field.ids(c)
         valid[k, : len(c)] = True
-        if k < flagged:
-            gold[k, : len(c)] = [t in bad for t in c]
-    field.fit(w, h, gold, valid)
+        if doc[k] >= 0:
+            gold[k, : len(c)] = [chance.get(t, 0.0) for t in c]
+    both, ends = valid[:, 1:], [1 - gold, gold]
+    pairs = np.array([[(a[:, :-1] * b[:, 1:])[both].sum() for b in ends] for a in ends])
+    field.fit(w, h, valid, gold, pairs, np.array([x[:, 0].sum() for x in ends]))
+    for _ in range(ROUNDS):
+        field.fit(w, h, valid, *field.labels(w, h, valid, doc))
     tokens = [[t for w in d for t in w] for d in windows]
     seen = {0: max(1, int((y == 0).sum())), 1: max(1, int((y == 1).sum()))}
     weight = np.array([sizes[int(k)] / seen[int(k)] for k in y])
