@@ -12,9 +12,12 @@ Links are confirmed on the full sets. Not all pairs of a bucket are listed: equa
 representative; each bucket then compares its members with its most central one (that which shares most of its
 buckets), and the components of the confirmed links are found by minimum labels. Only buckets that still hold several components go on. Among their
 documents, shingles that occur in one document only are counted; a document whose other shingles are too few to
-reach the threshold leaves. The others get sketches of `FINE` coordinates; these are compared, where they are of
-different components, in blocks of about `BLOCK` rows, so that a bucket of any size is dealt over tasks and only
-alike pairs are written, each in the first band that it shares; these are confirmed. So no link that shares a band is lost, whatever the size of a bucket.
+reach the threshold leaves. The others are compared, where they are of different components, in blocks of about `BLOCK`
+rows, so that a bucket of any size is dealt over tasks, each pair in the first band that it shares. A pair of sketches of `FINE`
+coordinates that are alike is decided at once on the full sets, which blocks hold for documents of up to `SMALL` shingles; a block
+writes only links that join components (fewer than its rows), so what leaves a bucket does not grow with its pairs. Larger
+documents have sketches of `LONG` coordinates there; pairs which agree in enough of them are written and confirmed
+afterwards on their texts. So no link that shares a band is lost, whatever the size of a bucket.
 
 Before its texts are read, a pair must agree in `least_agreement` of the coordinates (one byte of each is kept): by
 the concentration bound a pair at the threshold has fewer with a chance below 1e-7.
@@ -42,9 +45,9 @@ WIDTH, PERCENT = 5, 80
 #: (bands, rows): a pair at the threshold shares a band with probability above 1 - 1e-6.
 BANDING = {80: (27, 4), 85: (24, 5)}
 #: Members of a bucket that are compared with as many others at once.
-BLOCK = 2048
-#: Coordinates of the finer sketches that blocks compare.
-FINE = 512
+BLOCK = 1024
+#: Coordinates of the finer sketches that blocks compare first, shingles up to which they hold sets, and coordinates beyond.
+FINE, SMALL, LONG = 512, 1024, 8192
 #: Shingle sets that a worker keeps while it confirms pairs.
 KEPT_SETS = 4096
 #: Node ids that may be broadcast to pick texts; more are joined by shuffle.
@@ -109,7 +112,7 @@ def least_agreement(percent: int, bins: int, miss: float = 1e-7) -> int:
     """The largest number of coordinates below which Binomial(bins, percent / 100) falls with at most chance `miss`."""
     p, below, k = percent / 100, 0.0, 0
     while True:
-        below += math.comb(bins, k) * p**k * (1 - p) ** (bins - k)
+        below += math.exp(math.lgamma(bins + 1) - math.lgamma(k + 1) - math.lgamma(bins - k + 1) + k * math.log(p) + (bins - k) * math.log(1 - p))
         if below > miss:
             return k
         k += 1
@@ -186,17 +189,43 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def _alike(least: int, percent: int):
-    """Pairs of a bucket's block with another that may link: other components, near sizes, alike sketches."""
+class _Labels:
+    """Components that a block's links join."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[max(x, y)] = min(x, y)
+
+
+def _links(least: int, percent: int, small: int, long: int):
+    """Of a bucket's block with another: links between components (sure), and pairs of large documents that may link."""
+
+    def sure(a: np.ndarray, b: np.ndarray) -> bool:
+        """`linked` of two sorted sets."""
+        if len(a) > len(b):
+            a, b = b, a
+        if 100 * len(a) < percent * len(b):
+            return False
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches, ["key", "low", "high"]):
             low, high, own = int(group["low"].iloc[0]), int(group["high"].iloc[0]), group["own"].to_numpy()
-            key, node, label, n, shared = (group[c].to_numpy() for c in ("key", "node", "label", "n", "shared"))
+            key, node, label, n, shared, size = (group[c].to_numpy() for c in ("key", "node", "label", "n", "shared", "size"))
             mini = np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(len(group), -1)
+            more = group["more"].to_numpy()
             keys = np.stack(group["keys"].to_numpy())
             left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
             step = max(1, (8 << 20) // max(1, len(right) * mini.shape[1]))
+            joined, found = _Labels(), []
             for at in range(0, len(left), step):
                 i, j = left[at : at + step, None], right[None]
                 most = np.minimum(shared[i], shared[j])  # of common shingles
@@ -214,28 +243,47 @@ def _alike(least: int, percent: int):
                 x, y = i[x, 0], j[0, y]
                 same = keys[x] == keys[y]
                 once = keys[x, same.argmax(axis=1)] == key[0]
-                if once.any():
-                    yield pd.DataFrame({"a": node[x[once]], "b": node[y[once]]})
+                for x, y in zip(x[once].tolist(), y[once].tolist()):
+                    whole = size[x] <= small, size[y] <= small
+                    if all(whole):
+                        a, b = joined.of(int(label[x])), joined.of(int(label[y]))
+                        if a != b and sure(np.frombuffer(more[x], np.uint64), np.frombuffer(more[y], np.uint64)):
+                            joined.join(a, b)
+                            found.append((node[x], node[y], True))
+                    elif any(whole) or (np.frombuffer(more[x], np.uint8) == np.frombuffer(more[y], np.uint8)).sum() >= long:
+                        found.append((node[x], node[y], False))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b", "sure"])
 
     return of
 
 
-def _fine(width: int, bins: int):
+def _fine(width: int, bins: int, small: int, long: int):
+    """node, size, a sketch of `bins` coordinates, and the set itself or, above `small`, a sketch of `long` coordinates."""
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                found = _mix(sketch([shingles(t, width) for t in part["text"]], bins)).astype(np.uint8)
-                yield pd.DataFrame({"node": part["node"], "fine": [row.tobytes() for row in found]})
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                sets = [shingles(t, width) for t in part["text"]]
+                found = _mix(sketch(sets, bins)).astype(np.uint8)
+                more = [s.tobytes() if len(s) <= small else _mix(sketch([s], long)).astype(np.uint8).tobytes() for s in sets]
+                yield pd.DataFrame({"node": part["node"], "size": [len(s) for s in sets], "fine": [row.tobytes() for row in found], "more": more})
 
     return of
 
 
 def _single(width: int):
+    """node, t (a hash of the text), size, h of every shingle."""
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), [len(s) for s in sets]), "h": np.concatenate(sets).view(np.int64) if sets else []}).astype("int64")
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                sets = [shingles(t, width) for t in part["text"]]
+                count = [len(s) for s in sets]
+                digest = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pd.DataFrame({"node": part["node"].to_numpy().repeat(count), "t": digest.repeat(count), "size": np.repeat(count, count), "h": np.concatenate(sets).view(np.int64)}).astype("int64")
 
     return of
 
@@ -304,12 +352,15 @@ class NearDuplicates:
         return self._hold(both.mapInPandas(_verify(self.width, self.percent), "a long, b long").distinct(), "edges")
 
     def _shared(self, nodes: DataFrame, n: int) -> DataFrame:
-        """node, shared: the number of its shingles that occur in several of these nodes, where it may reach the threshold."""
-        seen = self._texts(nodes, n).mapInPandas(_single(self.width), "node long, h long")
-        alone = seen.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-        size = self.own.groupBy("node").agg(F.max("n").alias("n"))
-        out = nodes.join(size, "node").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-        return self._hold(out.where(100 * F.col("shared") >= self.percent * F.col("n")).select("node", "shared"), "shared")
+        """node, n, shared: the least number of shingles of its texts, and the largest number of one text's that occur in several
+        of these texts, where some text of it may reach the threshold."""
+        seen = self._texts(nodes, n).mapInPandas(_single(self.width), "node long, t long, size long, h long")
+        once = seen.groupBy("h").agg(F.min("t").alias("t"), F.max("t").alias("other"), F.min("node").alias("node"), F.max("node").alias("last")).where("t = other and node = last")
+        alone = once.groupBy("node", "t").agg(F.count(F.lit(1)).alias("alone"))
+        size = seen.groupBy("node", "t").agg(F.max("size").alias("size"))
+        out = size.join(alone, ["node", "t"], "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        out = out.groupBy("node").agg(F.min("size").alias("n"), F.max("shared").alias("shared"), F.max(100 * F.col("shared") >= self.percent * F.col("size")).alias("able"))
+        return self._hold(out.where("able").select("node", "n", "shared"), "shared")
 
     def _components(self, edges: DataFrame, label: DataFrame | None = None) -> DataFrame:
         """node, label (the least node reachable); nodes without a link may be missing."""
@@ -344,13 +395,15 @@ class NearDuplicates:
         able = self._hold(self._mixed(able.drop("blocks")).withColumn("own", own), "able")
         nodes = self._hold(able.select("node").distinct(), "able-nodes")
         # of a node's rows with several texts, those with words
-        fine = self._texts(nodes, self.rows_held).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").mapInPandas(_fine(self.width, FINE), "node long, fine binary")
-        able = able.join(self.own.select("node", "n", "keys"), "node").join(fine, "node")
-        dealt = able.select("key", "node", "label", "n", "shared", "keys", "fine", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        fine = self._texts(nodes, self.rows_held).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").mapInPandas(_fine(self.width, FINE, SMALL, LONG), "node long, size long, fine binary, more binary")
+        able = able.join(self.own.select("node", "keys"), "node").join(fine, "node")
+        dealt = able.select("key", "node", "label", "n", "shared", "size", "keys", "fine", "more", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
         sorted_ = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-        likely = self._hold(sorted_.mapInPandas(_alike(least_agreement(self.percent, FINE), self.percent), "a long, b long").distinct(), "likely")
-        return self._components(self._exact(likely), label)
+        links = _links(least_agreement(self.percent, FINE), self.percent, SMALL, least_agreement(self.percent, LONG))
+        found = self._hold(sorted_.mapInPandas(links, "a long, b long, sure boolean").distinct(), "links", ~F.col("sure"))
+        edges = found.where("sure").select("a", "b")
+        return self._components(edges.unionAll(self._exact(found.where("not sure").select("a", "b"))), label)
 
     def _mixed(self, named: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one component, with the number of blocks of these."""
