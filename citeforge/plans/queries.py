@@ -323,7 +323,8 @@ def dev_test_split(spark, sf):
 
 
 def perturbations(spark, sf):
-    items = judging.perturbed(judging.candidates(table(spark, sf, "documents")))
+    """Negations and overclaims of every sentence that is fit to be judged."""
+    items = judging.perturbed(judging.candidates(table(spark, sf, "documents")), ("negation", "overclaim"))
     return items.select("doc_id", "position", "split", "kind", "gold_label", F.md5("claim").alias("claim_md5"))
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from citeforge.functions import text as T
-from citeforge.operators import judging
+from citeforge.functions import fixed
 from citeforge.plans.fixtures import cte
 
 _WORDS = r"len(regexp_extract_all({}, '[^\x09-\x0D \x85\xA0]+'))"
@@ -102,33 +101,44 @@ def _re(pattern: str) -> str:
     return "'" + pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''").replace("\\u3400", "\\x{3400}").replace("\\u9fff", "\\x{9fff}") + "'"
 
 
-_PREDICATES = {"refusal": _re(T.REFUSAL), "meta": _re(T.META)}
-_AUX = r"(?i)^\s*(?:are|can|could|did|do|does|had|has|have|is|was|were)\b"
-_YES_NO = rf"(regexp_matches({{0}}, '是否|有没有|有沒有|[吗嗎][?？。]?\s*$') OR regexp_matches({{0}}, '{_AUX}'))"
+_PREDICATES = {"refusal": _re(fixed.REFUSAL_HINT), "meta": _re(fixed.META_ADVICE)}
+_YES_NO = f"(regexp_matches({{0}}, {_re(fixed.YES_NO_ZH)}) OR regexp_matches({{0}}, {_re(fixed.YES_NO_EN)}))"
+# Written out here, so that another rule in the operators shows
+_OVERCLAIMS = [
+    (r"(?i)\b(is|are|was|were)( positively| negatively| significantly)? (associated|correlated|linked) with\b", r"\1 shown to directly cause"),
+    (r"(?i)\b(may|might|could) ", "will always "),
+    (r"(?i)\bsuggest(s|ed)? that\b", {"suggests that": "proves that", "suggested that": "proved that", "suggest that": "prove that"}),
+    (r"(?i)\b(likely|possibly|potentially) ", "certainly "),
+    (r"(?i)\bindicat(es|ed|e) that\b", {"indicates that": "proves that", "indicated that": "proved that", "indicate that": "prove that"}),
+    (r"(?i)\b(appears|appear|seems|seem) to\b", {"appears to": "is proven to", "seems to": "is proven to", "appear to": "are proven to", "seem to": "are proven to"}),
+    (r"(?i)\bcan ", "will always "),
+    (r"(?i)\b(partially|partly) ", "fully "),
+]
+_FLIPS = "increased decreased increase decrease increases decreases increasing decreasing higher lower greater smaller improved impaired improve impair improves impairs enhanced diminished positive negative positively negatively more less larger smaller stronger weaker better worse reduced increased reduces increases reduce increase".split()
 
 
 def _overclaims(s: str) -> str:
-    """The first rule group that matches, its leftmost match replaced: the pieces before, of and after it."""
+    """The first rule that matches, its leftmost match replaced: the pieces before, of and after it."""
     out = "CASE"
-    for group in judging._TIED:
-        pattern = "(?i)" + "|".join(judging.OVERCLAIMS[k][0] for k in group)
-        if len(group) == 1:
-            out += f" WHEN regexp_matches({s}, '{pattern}') THEN regexp_replace({s}, '{pattern}', '{judging.OVERCLAIMS[group[0]][1].replace('$1', chr(92) + '1')}')"
+    for pattern, new in _OVERCLAIMS:
+        if isinstance(new, str):
+            out += f" WHEN regexp_matches({s}, '{pattern}') THEN regexp_replace({s}, '{pattern}', '{new}')"
         else:
             found = f"regexp_extract({s}, '{pattern}')"
-            new = found
-            for k in group:
-                new = f"regexp_replace({new}, '(?i){judging.OVERCLAIMS[k][0]}', '{judging.OVERCLAIMS[k][1]}')"
-            out += f" WHEN regexp_matches({s}, '{pattern}') THEN {s}[:strpos({s}, {found}) - 1] || {new} || {s}[strpos({s}, {found}) + length({found}):]"
+            said = f"CASE lower({found}) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in new.items()) + " END"
+            out += f" WHEN regexp_matches({s}, '{pattern}') THEN {s}[:strpos({s}, {found}) - 1] || ({said}) || {s}[strpos({s}, {found}) + length({found}):]"
     return out + " END"
 
 
 def _negate(whole: str) -> str:
     """Letters beyond ASCII count as letters at a word's edge: matching runs on a copy with x for them."""
     s = f"regexp_replace({whole}, '[À-ɏ]', 'x', 'g')"
-    table = judging.opposites()
+    table: dict[str, str] = {}
+    for a, b in zip(_FLIPS[::2], _FLIPS[1::2]):
+        table.setdefault(a, b)
+        table.setdefault(b, a)
     flip = r"(?i)\b(" + "|".join(sorted(table, key=lambda w: (-len(w), w))) + r")\b"
-    helper = r"\b(" + "|".join(judging.AUXILIARIES) + r")\b"
+    helper = r"\b(is|are|was|were|has|have|does|did|can)\b"
     pairs = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in table.items()) + "}"
     w = f"regexp_extract({s}, '{flip}')"
     turned = f"{pairs}[lower({w})]"
@@ -145,7 +155,7 @@ _CUT_B = f"string_split(regexp_replace({{}}, '([.!?。！？]){_SPACE}', '\\1' |
 _ITEMS = f"""parts AS (SELECT doc_id, unnest({_CUT_A.format("replace(text, chr(10), ' ')")}) AS s, generate_subscripts({_CUT_A.format("replace(text, chr(10), ' ')")}, 1) AS place FROM documents WHERE text IS NOT NULL),
 fit AS (SELECT doc_id, {_TRIM.format('s')} AS s, place FROM parts WHERE length({_TRIM.format('s')}) BETWEEN 60 AND 350 AND {_WORDS.format('s')} >= 8 AND NOT regexp_matches({_TRIM.format('s')}, '^(?:Table|Figure)'))"""
 
-_TYPE = "CASE WHEN regexp_matches({0}, '(?i)findings|\\bresults?\\b|結果') THEN '研究結果' WHEN regexp_matches({0}, '(?i)conclusion|discussion|implication|limitation|結論|討論') THEN '討論' WHEN regexp_matches({0}, '(?i)acquisition|analysis|design|instrument|materials|measure|method|participants|procedure|protocol|stimul|方法') THEN '研究方法' WHEN regexp_matches({0}, '(?i)aim|background|introduction|literature|objective|research question|review|theoretical|theory|文獻|緒論|背景') THEN '背景' END"
+_TYPE = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, {_re(p)}) THEN '{n}'" for n, p in fixed.PASSAGE_TYPES[1:]) + " END"
 
 
 def _panel(rule: str) -> str:
@@ -202,10 +212,10 @@ SELECT item_id, CASE WHEN v IS NULL THEN NULL WHEN lower(trim(v->>'plan_as_resul
 AND ({_STAGE.format('source')} IN ('hypothesis', 'plan_or_method') AND {_STAGE.format('claim')} = 'finding' OR {_STAGE.format('source')} = 'other_study' AND {_STAGE.format('attribution')} = 'this_study') THEN 'unsupported' END AS verdict FROM stages""",
     "best_label_early_stop": f"WITH RECURSIVE {_BEST3}, {_early(3)} SELECT item_id, label, calls, calls::DOUBLE AS seconds FROM best3",
     "check_cost_sim": f"WITH RECURSIVE {_BEST3}, {_early(1)}, {_early(2)}, {_early(3)} " + " UNION ALL ".join(f"SELECT {k} AS top, count(*) AS n, round(avg(calls), 4) AS mean_calls, round(avg(seconds), 4) AS mean_seconds, count(*) FILTER (item_id % 2 = 1 AND label = 'supported') AS false_accept, count(*) FILTER (item_id % 2 = 0 AND label <> 'supported') AS false_reject FROM best{k}" for k in (1, 2, 3)),
-    "text_predicates": f"WITH {cte('sentences')} SELECT item_id, regexp_matches(s, {_PREDICATES['refusal']}) AS refusal, regexp_matches(s, {_PREDICATES['meta']}) AS meta, {_YES_NO.format('s')} AS yes_no, regexp_matches(s, {_re(T.CJK)}) AS cjk FROM sentences",
+    "text_predicates": f"WITH {cte('sentences')} SELECT item_id, regexp_matches(s, {_PREDICATES['refusal']}) AS refusal, regexp_matches(s, {_PREDICATES['meta']}) AS meta, {_YES_NO.format('s')} AS yes_no, regexp_matches(s, {_re(fixed.CJK)}) AS cjk FROM sentences",
     "refusal_turns": f"WITH {_TURNS} SELECT regexp_matches(statement, {_PREDICATES['refusal']}) AS refusal, {_YES_NO.format('statement')} AS yes_no, regexp_matches(statement, {_PREDICATES['meta']}) AS meta, count(*) AS n FROM turns GROUP BY 1, 2, 3",
     "passage_type": f"""WITH {cte('paths')}, h AS (SELECT item_id, list_filter(CASE WHEN section_path <> '' THEN string_split(section_path, '|') ELSE [section] END, lambda x: x <> '') AS h FROM paths),
-o AS (SELECT item_id, h, list_concat(h[1:1], list_reverse(h[2:])) AS o FROM h), t AS (SELECT item_id, CASE WHEN len(h) = 0 THEN '其他' WHEN regexp_matches(h[-1], '(?i)hypothes[ei]s|假設') THEN '研究假設' ELSE coalesce(list_filter(list_transform(o, lambda x: {_TYPE.format('x')}), lambda x: x IS NOT NULL)[1], '其他') END AS type FROM o)
+o AS (SELECT item_id, h, list_concat(h[1:1], list_reverse(h[2:])) AS o FROM h), t AS (SELECT item_id, CASE WHEN len(h) = 0 THEN '其他' WHEN regexp_matches(h[-1], {_re(fixed.PASSAGE_TYPES[0][1])}) THEN '研究假設' ELSE coalesce(list_filter(list_transform(o, lambda x: {_TYPE.format('x')}), lambda x: x IS NOT NULL)[1], '其他') END AS type FROM o)
 SELECT item_id, type, CASE WHEN type IN ('研究結果', '討論') THEN 0 WHEN type = '研究假設' THEN 2 ELSE 1 END AS type_order FROM t""",
     "mock_answers": f"WITH RECURSIVE {_BM25} SELECT query_id, chunk_id, '(mock) ' || replace(text[:200], chr(10), ' ') AS statement, false AS refused, '' AS unsupported_note FROM passages WHERE position = 0",
     "wilson": f"""WITH {cte('rates')}, c AS (SELECT coalesce(source, 'none') AS name, sum(toxic)::BIGINT AS k, count(toxic) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1 UNION ALL SELECT 'fixed' || item_id, k, n FROM rates)

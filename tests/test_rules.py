@@ -102,10 +102,49 @@ def test_audit(spark):
 
 
 def test_reference_splits(spark):
-    lines = spark.createDataFrame([(1, 0, "1. Alder J. Rivers."), (1, 1, "2019;14:1"), (1, 2, "2. Birch K. Lamps."), (1, 3, "7. of a list")], "doc_id long, idx int, text string")
-    assert [r["raw"] for r in references.split_numbered(lines).orderBy("ordinal").collect()] == ["Alder J. Rivers. 2019;14:1", "Birch K. Lamps. 7. of a list"]
-    lines = spark.createDataFrame([(1, 0, "Alder, J. (2019). Rivers and"), (1, 1, "Oak, their bridges."), (1, 2, "Birch, K. (2020). Lamps.")], "doc_id long, idx int, text string")
-    assert references.split_author_year(lines).count() == 2
+    numbered = [(1, 0, "1. Alder J. Rivers."), (1, 1, "2019;14:1"), (1, 2, "2. Birch K. Lamps."), (1, 3, "12. ed. of a list"), (1, 4, "3."), (1, 5, "Cedar M. Stones-"), (1, 6, "and more"), (1, 7, "Copyright © nobody"), (1, 8, "4. Never read")]
+    authors = [(2, 0, "Alder, J. (2019). Rivers and"), (2, 1, "their bridges."), (2, 2, "Birch, K., Elm, L.,"), (2, 3, "Fir, M. (2020). Lamps."), (2, 4, "van Berg, A. (2015). Low land."), (2, 5, "Conflict of Interest: none")]
+    lines = spark.createDataFrame(numbered + authors, "doc_id long, idx int, text string")
+    got = {(r["doc_id"], r["ordinal"]): r["raw"] for r in references.split_entries(lines).collect()}
+    assert got == {
+        (1, 1): "Alder J. Rivers. 2019;14:1", (1, 2): "Birch K. Lamps. 12. ed. of a list", (1, 3): "Cedar M. Stonesand more",
+        (2, 1): "Alder, J. (2019). Rivers and their bridges.", (2, 2): "Birch, K., Elm, L., Fir, M. (2020). Lamps.", (2, 3): "van Berg, A. (2015). Low land.",
+    }
+
+
+@pytest.mark.parametrize("change, s, out", [
+    (judging.change_number, "In 2019 we saw 12 of Table 3", "In 2019 we saw 27 of Table 3"),
+    (judging.change_number, "Figure 2 has r = 0.45 here", "Figure 2 has r = 0.82 here"),
+    (judging.change_number, "It rose by 3.5 points", "It rose by 3.1 points"),
+    (judging.change_number, "Study 2 of 1999", None),
+    (judging.plan_to_result, "H1a: Rivers will reduce mud", "The results showed that rivers reduced mud"),
+    (judging.plan_to_result, "We expect that lamps will be lit", "The results showed that we expect that lamps were lit"),
+    (judging.plan_to_result, "VR will not improve sleep", "The results showed that VR did not improve sleep"),
+    (judging.plan_to_result, "Participants will be recruited", None),
+    (judging.plan_to_result, "It will carry on as people will show", "The results showed that it carried on as people will show"),
+    (judging.attribution_swap, "Alder et al. (2019) found that rivers bend", "This study found that rivers bend"),
+    (judging.attribution_swap, "Notably, rivers were shown to bend (Alder, 2019)", "In this study, rivers were shown to bend"),
+    (judging.attribution_swap, "Studies found that rivers bend (Alder, 2019)", None),
+    (judging.attribution_swap, "We found that rivers bend (Alder, 2019)", None),
+    (judging.attribution_swap, "Alder (2019) found, as Birch and colleagues did, that rivers bend", None),
+])
+def test_changes(spark, change, s, out):
+    assert one(spark, change(F.col("s")), s=s) == out
+
+
+def test_far_passages_and_turns(spark):
+    chunks = spark.createDataFrame([(1, k, f"c{k}", n, t) for k, (n, t) in enumerate([("1", "Rivers bend slowly over plains."), ("1.2", "Rivers bend again in every plain."), ("2", "Lamps burn at night and many people sleep well under them when winter comes again. Short one."), ("3", "Rivers bend slowly plains again.")])], "doc_id long, chunk_no int, chunk_id string, section_number string, text string")
+    sentences = spark.createDataFrame([(1, 0, "Rivers bend slowly over plains.", "1.1")], "doc_id long, position int, sentence string, section_number string")
+    far = judging.distant(sentences, chunks)
+    assert far.first()["far_chunk"] == "c2"
+    got = {r["kind"]: (r["claim"], r["gold_label"]) for r in judging.swapped(far).collect()}
+    assert got["swap_passage"] == ("Rivers bend slowly over plains.", "unsupported")
+    assert got["conjunction"] == ("Rivers bend slowly over plains; moreover, lamps burn at night and many people sleep well under them when winter comes again.", "partially_supported")
+    options = [(0, "number"), (0, "negation"), (1, "number"), (1, "negation"), (2, "negation"), (3, "overclaim"), (3, "negation"), (9, "number"), (9, "overclaim"), (10, "overclaim"), (10, "plan_to_result"), (11, "plan_to_result"), (12, "overclaim")]
+    items = spark.createDataFrame(options, "turn int, kind string")
+    assert {r["turn"]: r["kind"] for r in judging.rotate(items, 4).collect()} == {0: "negation", 1: "number", 2: "negation", 3: "overclaim"}
+    more = judging.top_ups(items, 4, (("overclaim", 2), ("plan_to_result", 5)))
+    assert sorted((r["turn"], r["kind"]) for r in more.collect()) == [(9, "overclaim"), (10, "overclaim"), (11, "plan_to_result")]
 
 
 def test_lookup(spark):
