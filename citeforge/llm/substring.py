@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeforge.llm.common import durable
+
 GEAR_BYTES, RADIUS, MAX_CHUNK = 16, 24, 256
 MIN_RUN, CONTEXT = 120, 256
 #: Bytes that are hashed at once, and those on each side of them that decide about chunk ends.
@@ -253,7 +255,7 @@ def _cut(min_run: int):
 def deduplicate(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """The rows with a struct column SPANS: the text without repeats, removed_chars, and the spans (in characters) removed."""
     keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col(text)))
-    sides = repeated_runs(keyed, text, min_run)
+    sides = durable(repeated_runs(keyed, text, min_run), "runs")  # it is read twice; a row for each end of a run
     asks = sides.groupBy("skey").agg(F.collect_set("ask").alias("asks"))
     # the texts are dealt by KEY here and below, so that Spark can use one exchange for both
     asked = keyed.select(KEY, text).join(asks, F.col(KEY) == F.col("skey")).select("skey", F.explode(_answer()(text, "asks")).alias("a"))
