@@ -329,7 +329,10 @@ class NearDuplicates:
         empty = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         full = live.select("doc_id", "n_shingles").join(named, "doc_id").select("doc_id", "n_shingles", "component_id")
         out = full.unionAll(empty.join(named.withColumnRenamed("component_id", "c"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "component_id").alias("component_id")))
-        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        answer = Durable(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "components")
+        for held in self.kept:  # only the answer, a few numbers a row, stays
+            held.drop()
+        return answer.df
 
     def _texts(self, nodes: DataFrame, n: int) -> DataFrame:
         """node, text of some nodes; the ids go to the texts while they are few."""

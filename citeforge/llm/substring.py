@@ -151,7 +151,7 @@ def _beside(raw: bytes, ask: int) -> bytes:
 
 def _answer():
     @F.pandas_udf("array<struct<ask:long,beside:binary>>")
-    def answer(texts: pd.Series, asks: pd.Series) -> pd.Series:
+    def answer(texts: pd.Series, asks: pd.Series, _row: pd.Series) -> pd.Series:
         return pd.Series([[{"ask": int(x), "beside": _beside(raw, int(x))} for x in found] for raw, found in ((t.encode(), a) for t, a in zip(texts, asks))], dtype=object)
 
     return answer
@@ -257,8 +257,8 @@ def deduplicate(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) ->
     keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col(text)))
     sides = durable(repeated_runs(keyed, text, min_run), "runs")  # it is read twice; a row for each end of a run
     asks = sides.groupBy("skey").agg(F.collect_set("ask").alias("asks"))
-    # the texts are dealt by KEY here and below, so that Spark can use one exchange for both
-    asked = keyed.select(KEY, text).join(asks, F.col(KEY) == F.col("skey")).select("skey", F.explode(_answer()(text, "asks")).alias("a"))
+    # the texts are dealt by KEY here and below; a hash of all columns asks for them here too, so that Spark uses one exchange for both
+    asked = keyed.join(asks, F.col(KEY) == F.col("skey")).select("skey", F.explode(_answer()(text, "asks", F.xxhash64(*docs.columns))).alias("a"))
     answers = asked.select("skey", "a.ask", "a.beside").dropDuplicates(["skey", "ask"])
     found = sides.join(answers, ["skey", "ask"]).groupBy(KEY).agg(F.collect_list(F.struct("start", "end", "side", "sources", "beside")).alias(SPANS))
     met = keyed.join(found, KEY, "left")
@@ -271,7 +271,7 @@ def deduplicate(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) ->
 def clean(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """The rows with repeats taken out of the text; n_chars, where there is one, follows."""
     columns = docs.columns
-    out = deduplicate(docs, text, min_run)
+    out = deduplicate(docs.drop("n_chars"), text, min_run)
     changed = {text: F.col(f"{SPANS}.text")}
     if "n_chars" in columns:
         changed["n_chars"] = F.length(F.col(f"{SPANS}.text")).cast(dict(docs.dtypes)["n_chars"])
