@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType
 
 
 def block_share(q: str, p: str) -> float:
@@ -32,6 +32,19 @@ def aligned_share(quote: pd.Series, passage: pd.Series) -> pd.Series:
     return pd.Series([block_share(q or "", p or "") for q, p in zip(quote, passage)], dtype="float64")
 
 
+@F.pandas_udf(BooleanType())
+def near_any(text: pd.Series, others: pd.Series) -> pd.Series:
+    """Whether a text and one of several hold nine tenths of each other in ordered blocks, in either direction."""
+    plain = lambda t: " ".join(t.lower().split())
+
+    def one(t, found):
+        if t is None or found is None or not len(found):
+            return False
+        return any(block_share(plain(t), plain(o)) >= 0.9 or block_share(plain(o), plain(t)) >= 0.9 for o in found)
+
+    return pd.Series([one(t, f) for t, f in zip(text, others)], dtype=bool)
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
@@ -43,6 +56,11 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
 
 
+def folded(text):
+    """`fold` for what is not plain ASCII already: the rest stays in the JVM."""
+    return F.when(text.rlike("^[\\x00-\\x7f]*$"), F.lower(text)).otherwise(fold(text))
+
+
 _ACCENT = {"´": "́", "˝": "̋", "¨": "̈", "ˆ": "̂", "˜": "̃", "ˇ": "̌"}
 
 

@@ -53,7 +53,8 @@ def assign_fixed(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def materialise(assigned: DataFrame, strategy: str, s: Settings = DEFAULTS) -> DataFrame:
     """One row a chunk: text in order, span, words, tokens, and the last paragraph's section."""
-    row = F.array_sort(F.collect_list(F.struct("idx", "text", "section_path", "section_number")))
+    page = F.coalesce("page", F.lit(0)) if "page" in assigned.columns else F.lit(0)
+    row = F.array_sort(F.collect_list(F.struct("idx", "text", "section_path", "section_number", page.alias("page"))))
     out = assigned.groupBy("doc_id", "chunk_no").agg(row.alias("r"), F.sum("n_words").cast("int").alias("n_words"))
     last = F.element_at("r", -1)
     return out.select(
@@ -69,9 +70,22 @@ def materialise(assigned: DataFrame, strategy: str, s: Settings = DEFAULTS) -> D
         last["idx"].alias("para_end"),
         "n_words",
         T.est_tokens(F.col("n_words"), s.tokens_per_word).alias("est_tokens"),
+        F.element_at("r", 1)["page"].alias("page_start"),
+        last["page"].alias("page_end"),
     )
 
 
+def with_citations(chunks: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds citations: the distinct works that a chunk's text cites (ref_id, display, resolved), in the order of their first mention."""
+    from citeforge.operators.references import extract_citations
+
+    found = extract_citations(chunks.select("doc_id", F.col("chunk_no").alias("idx"), "text"), refs)
+    row = F.transform(F.array_sort(F.collect_list(F.struct("position", "ref_id", "display", "resolved"))), lambda c: F.struct(c["ref_id"].alias("ref_id"), c["display"].alias("display"), c["resolved"].alias("resolved")))
+    cited = found.groupBy("doc_id", F.col("idx").alias("chunk_no")).agg(row.alias("citations"))
+    none = F.array().cast("array<struct<ref_id:string,display:string,resolved:boolean>>")
+    return chunks.join(cited, ["doc_id", "chunk_no"], "left").withColumn("citations", F.coalesce("citations", none))
+
+
 def chunk_section(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return materialise(assign_sections(paras, s), "section", s)
 

@@ -109,6 +109,145 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (7, '<answer><claim citation_ids="">x</quote> y</claim><unsupported_note> more </unsupported_note></answer>'),
         ],
     ),
+    "changeable": (
+        "item_id int, s string",
+        [
+            (1, "In 2019 the share increased to 12 percent"),
+            (2, "H1a: Lamps will reduce mud in 3.5 weeks"),
+            (3, "Alder et al. (2019) found that rivers may bend"),
+            (4, "Birch (2020) reported that rivers suggest that streets are positively associated with rain"),
+            (5, "Stones were shown to roll (Cedar, 2018)"),
+            (6, "Quiet words"),
+        ],
+    ),
+    "styled": (
+        "doc_id long, idx int, text string, style string",
+        [(1, k, t, y) for k, (t, y) in enumerate([("A title", "Heading 1"), ("Abstract", "Heading 1"), ("First words", "Normal"), ("2 Method", "Heading 1"), ("2.1 Deep", "Heading 3"), ("2.1.1.1 Deeper", "Heading 6"), ("Second words", "Normal"), ("2.2 Flat", "Heading 2"), ("  ", "Normal"), ("Third words", "Normal"), ("x" * 121, "Heading 1"), ("References", "Heading 1"), ("Alder", "Normal")])],
+    ),
+    "sectioned": (
+        "doc_id long, idx int, text string, path string, section_number string, page int",
+        [
+            (1, 0, "Rivers bend (Alder, 2019) and lamps burn", "Intro", "1", 1),
+            (1, 1, "streets are quiet now (Dogwood, 2021; Oak, 2000)", "Intro", "1", 2),
+            (1, 2, "tail", "Intro", "1", 2),
+            (1, 3, "Alder (2019) says so", "Method", "2", 2),
+            (1, 4, "more of it here (Alder, 2019)", "Method|Deep", "2.1", 3),
+        ],
+    ),
+    "near_quotes": (
+        "item_id int, quote string, passage string",
+        [
+            (1, "Rivers  do “bend” here", 'x rivers do "bend" here y'),
+            (2, "rivers do bend slowly over the wide green plains", "rivers do bend slowly over the wide grean plains"),
+            (3, "nothing of the kind stands anywhere", "rivers bend"),
+            (4, " . ", "rivers"),
+            (5, "lamps burn", "streets are quiet"),
+            (5, "lamps burn", "Lamps burn at night"),
+        ],
+    ),
+    "claims": (
+        "query_id int, claim_idx int, statement string, ids string, quote string",
+        [
+            (1, 0, "Rivers bend", "a", "rivers bend in the wide plain"),
+            (1, 1, "Lamps burn brightly tonight", "a", "lamps burn brightly all night"),
+            (1, 2, "Made up", "a", "this was never written in any of these"),
+            (1, 3, "Rivers bend in the wide plain.", "a", ""),
+            (1, 4, "Lamps burn and rivers bend", "a", "Rivers bend in the wide plain. Lamps burn brightly all night."),
+            (1, 5, "People sleep longer with lamps at night", "c", ""),
+            (1, 6, "Bridges are strong", "zz", ""),
+            (2, 0, "這證明河流彎曲", "e", ""),
+            (2, 1, "The lamps improved sleep", "d", ""),
+            (2, 2, "Rivers bend in spring", "e", ""),
+            (2, 3, "Rivers are dry", "e", ""),
+            (2, 4, "Rivers in the northern plains bend more in early spring.", "e", ""),
+            (2, 5, "Lamps are lit", "e", ""),
+            (3, 0, "Reading outdoors makes people calmer", "g", ""),
+        ],
+    ),
+    "contexts": (
+        "query_id int, chunk_id string, text string, heading string, rank int",
+        [
+            (1, "a", "Rivers bend in the wide plain.", "Results", 1),
+            (1, "b", "Lamps burn brightly all night. They were lit early.", "Results", 2),
+            (1, "c", "H1: Lamps make people sleep longer at night.", "Introduction > Hypotheses", 3),
+            (2, "d", "We will compare sleep outcomes between the two groups.", "Method", 1),
+            (2, "e", "Rivers may bend in spring.", "Results", 2),
+            (3, "f", "H1: Reading outdoors makes people calmer in the evening.", "Introduction", 1),
+            (3, "g", "Participants read books in a garden.", "Results", 2),
+        ],
+    ),
+    "asked": ("query_id int, question string", [(1, "What do rivers do?"), (2, "Do rivers in the northern plains bend more in early spring?"), (3, "Why do people read?")]),
+    "claim_votes": (
+        "item_id string, judge string, label string",
+        [(f"{i}|{c}", j, x) for i, c, *two in [("2|0", "e", "supported", "supported"), ("2|1", "d", "supported", "supported"), ("2|2", "e", "supported", "partially_supported"), ("2|3", "e", "unsupported", "partially_supported"), ("2|4", "e", "partially_supported", "partially_supported"), ("3|0", "g", "partially_supported", "partially_supported")] for j, x in zip("pq", two)],
+    ),
+    "nli": ("item_id string, entailment double, contradiction double", [("1|0|a", 0.7, 0.1), ("1|1|b", 0.1, 0.8), ("1|3|a", 0.3, 0.2), ("1|4|a", 0.1, 0.9), ("1|4|b", 0.61, 0.1)]),
+    "entries": (
+        "ref_id string, raw string, key_surname string, key_year string",
+        [
+            ("l1", "Alder, J., & Birch, K. B. (2019). Rivers and their bridges. Journal of Water, 14(2), 117–131. https://doi.org/10. 1016/j.x.2019.01. 002", "Alder", "2019"),
+            ("l2", "Cedar, M., et al. (2018a). A first book of stones. North Press.", "Cedar", "2018a"),
+            ("l3", "van den Berg, A., Oak, L., … Elm, Q. (2015). Low land. Maps 12, e44. doi:10.1000/ABC.", "van den Berg", "2015"),
+            ("l4", "No year here. Plain, 3, 5.", "No", ""),
+        ],
+    ),
+    "records": (
+        "id string, kind string, body string",
+        [
+            ("w1", "crossref", '{"DOI":"10.1/A","title":["Rivers","and bridges"],"author":[{"family":"Alder"},{"name":"A group"},{"family":"Birch"}],"issued":{"date-parts":[[2019,3]]},"published-print":{"date-parts":[[2020]]},"volume":"Volume 14","page":"117-131","type":"journal-article","updated-by":[{"type":"retraction"}]}'),
+            ("w2", "crossref", '{"title":["Stones"],"issued":{"date-parts":[[null]]},"article-number":"e12"}'),
+            ("p1", "pubmed", '{"title":"Low land.","authors":[{"name":"Van Orden GC","authtype":"Author"},{"name":"Group","authtype":"CollectiveName"},{"name":"Oak L"}],"pubdate":"2015 Mar","volume":"12","pages":"44-9","articleids":[{"idtype":"pii","value":"x"},{"idtype":"doi","value":"10.1/P"}],"pubtype":["Retracted Publication"]}'),
+            ("p2", "pubmed", '{"title":"","pubdate":"none"}'),
+        ],
+    ),
+    "searches": (
+        "id string, body string",
+        [("s1", '{"esearchresult":{"idlist":["11"]}}'), ("s2", '{"esearchresult":{"idlist":["21","22","23","24"]}}'), ("s3", '{"esearchresult":{}}')],
+    ),
+    "arms": (
+        "arm string, part string, question_id string, type string, labels string, refused boolean, parse_failed boolean",
+        [
+            *[("grounded", "answer", f"q{k}", None, x, False, False) for k, x in enumerate(["supported|supported", "supported|partially_supported", "unsupported", "", "supported"])],
+            *[("baseline", "answer", f"q{k}", None, x, False, False) for k, x in enumerate(["supported|unsupported", "unsupported", "unsupported|disputed", "supported", "partially_supported"])],
+            *[("grounded", "trap", f"t{k}", t, x, r, f) for k, (t, x, r, f) in enumerate([("far_absent", "", True, False), ("near_absent", "supported", False, False), ("false_premise", "supported|partially_supported", False, False), ("hypothesis_bait", "supported", False, False), ("hypothesis_bait", "", False, True)])],
+            *[("baseline", "trap", f"t{k}", t, x, r, f) for k, (t, x, r, f) in enumerate([("far_absent", "unsupported", False, False), ("near_absent", "disputed", True, False), ("false_premise", "supported", False, False), ("hypothesis_bait", "unsupported", False, False)])],
+        ],
+    ),
+    "judged_claims": (
+        "claim_id string, query_id int, part string, statement string, label string, seen string",
+        [
+            ("c1", 1, "answer", "Rivers bend in the wide plain", "unsupported", "b"),
+            ("c2", 1, "answer", "Lamps burn", "supported", "a"),
+            ("c3", 1, "trap", "Lamps burn brightly", "partially_supported", "a"),
+            ("c4", 1, "trap", "Nothing fits at all here", "disputed", "a|b|c"),
+            ("c5", 2, "answer", "Walls crumble everywhere", "disputed", "d"),
+        ],
+    ),
+    "pdf_lines": (
+        "doc_id long, page int, block int, line int, text string, size double, bold boolean, italic boolean, x0 double, x1 double, y1 double",
+        [
+            (1, 1, 0, 0, "Journal of Water and Light", 8.0, False, False, 50.0, 200.0, 20.0),
+            (1, 1, 1, 0, "A B S T R A C T", 8.0, True, False, 50.0, 200.0, 60.0),
+            (1, 1, 2, 0, "Rivers bend in the plain and their brid-", 9.0, False, False, 50.0, 300.0, 80.0),
+            (1, 1, 2, 1, "ges are old.", 9.0, False, False, 50.0, 120.0, 92.0),
+            (1, 1, 3, 0, "Received 3 March", 7.0, False, False, 50.0, 120.0, 700.0),
+            (1, 1, 4, 0, "https://doi.org/10.1/x", 7.0, False, False, 50.0, 120.0, 712.0),
+            (1, 1, 5, 0, "After the abstract the body goes on in its own size.", 10.0, False, False, 50.0, 300.0, 300.0),
+            (1, 1, 6, 0, "1", 10.0, False, False, 290.0, 300.0, 780.0),
+            (1, 2, 0, 0, "Journal of Water and Light", 8.0, False, False, 50.0, 200.0, 20.0),
+            (1, 2, 1, 0, "2.1.", 10.0, True, False, 50.0, 70.0, 60.0),
+            (1, 2, 1, 1, "Lamps at night", 10.0, True, False, 72.0, 160.0, 60.4),
+            (1, 2, 2, 0, "Lamps burn, and people sleep under them when the winter is long.", 10.0, False, False, 50.0, 300.0, 80.0),
+            (1, 2, 3, 0, "Table 1 Lamps by street", 10.0, False, False, 50.0, 200.0, 200.0),
+            (1, 2, 4, 0, "12 (3.4) 5.6", 10.0, False, False, 50.0, 120.0, 212.0),
+            (1, 2, 5, 0, "See doi 10.1234/abc.", 10.0, False, False, 50.0, 160.0, 300.0),
+            (1, 2, 5, 1, "2019", 10.0, False, False, 50.0, 80.0, 312.0),
+            (1, 3, 0, 0, "Journal of Water and Light", 8.0, False, False, 50.0, 200.0, 20.0),
+            (1, 3, 1, 0, "References", 10.0, True, False, 50.0, 120.0, 60.0),
+            (1, 3, 2, 0, "Alder, J. (2019). Rivers and", 10.0, False, False, 50.0, 200.0, 80.0),
+            (1, 3, 2, 1, "their bridges.", 10.0, False, False, 50.0, 120.0, 92.0),
+        ],
+    ),
 }
 
 

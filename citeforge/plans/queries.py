@@ -6,8 +6,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeforge.config import DEFAULTS
 from citeforge.functions import text as T
-from citeforge.operators import chunking, generation, ingest, judging, lookup, metrics, references, retrieval, verify
+from citeforge.operators import chunking, generation, ingest, judging, lookup, metrics, references, rejudge, retrieval, verify
 from citeforge.plans.fixtures import frame
 from citeforge.sources.tables import table
 from citeforge.streaming import guard
@@ -167,8 +168,9 @@ def quote_check_near(spark, sf):
 
 
 def quote_repair(spark, sf):
+    """Word for word only (no share reaches the threshold), as SQL can tell that."""
     claims = _questions(spark, sf).select("query_id", F.lit(0).alias("claim_idx"), F.col("query").alias("quote"))
-    return verify.repair_citations(claims, _passages(spark, sf)).select("query_id", "hits", "repaired_to")
+    return verify.repair_citations(claims, _passages(spark, sf), DEFAULTS.with_(quote_threshold=2.0)).select("query_id", "hits", "repaired_to")
 
 
 def quote_span(spark, sf):
@@ -283,9 +285,9 @@ def wilson(spark, sf):
 
 
 def mcnemar(spark, sf):
-    """Of fixed counts, and of labels; there b counts only ids divisible by 40 (a test convention that its SQL shares)."""
+    """Of fixed counts, and of the two labels over all labelled documents."""
     pairs = frame(spark, "pairs2").select("item_id", "b", "c")
-    real = table(spark, sf, "labels").agg(F.lit(0).alias("item_id"), F.count_if(F.expr("quality = 1 and toxic = 0 and doc_id % 40 = 0")).alias("b"), F.count_if(F.expr("quality = 0 and toxic = 1")).alias("c"))
+    real = table(spark, sf, "labels").agg(F.lit(0).alias("item_id"), F.count_if(F.expr("quality = 1 and toxic = 0")).alias("b"), F.count_if(F.expr("quality = 0 and toxic = 1")).alias("c"))
     return pairs.unionAll(real).select("item_id", "b", "c", metrics.mcnemar(F.col("b"), F.col("c")).alias("p"))
 
 
@@ -335,14 +337,15 @@ def last_vote_wins(spark, sf):
 
 
 def resume_antijoin(spark, sf):
-    """Documents whose id no event of an even id has recorded (a test convention that its SQL shares)."""
-    done = table(spark, sf, "events").where("event_id % 2 = 0").select(F.lit("r1").alias("run"), F.col("user_id").alias("key"))
+    """Documents whose id no purchase has recorded (events stand in for a log, their user for its key)."""
+    done = table(spark, sf, "events").where("event_type = 'purchase'").select(F.lit("r1").alias("run"), F.col("user_id").alias("key"))
     return guard.resume(table(spark, sf, "documents").select(F.col("doc_id").alias("key")), done, "r1")
 
 
 def guard_windows(spark, sf):
-    samples = table(spark, sf, "events").select(F.col("event_type").alias("host"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("cpu"), (F.col("value") % 100).alias("ram_pct"))
-    return guard.guard_windows(samples).select("host", "seq", "cpu_mean", "streak", "fires")
+    """Users stand in for hosts: many keys, so that windows spread over tasks."""
+    samples = table(spark, sf, "events").select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("cpu"), (F.col("value") % 100).alias("ram_pct"))
+    return guard.guard_windows(samples, 5).select("host", "seq", "cpu_mean", "streak", "fires")
 
 
 # ---- references ------------------------------------------------------------------------------------------------------
@@ -400,12 +403,153 @@ def lookup_summary(spark, sf):
     return lookup.summary(lookup.resolve(*_works(spark)))
 
 
+def listed_fields(spark, sf):
+    out = lookup.listed_fields(frame(spark, "entries"))
+    return out.select("ref_id", "year", "doi", "volume", "first_page", F.array_join("surnames", "|").alias("surnames"), "et_al", "non_article")
+
+
+def lookup_records(spark, sf):
+    """Catalogue answers in one shape, from both catalogues."""
+    rows = frame(spark, "records")
+    rec = F.when(F.col("kind") == "crossref", lookup.crossref_record(F.col("body"))).otherwise(lookup.pubmed_record(F.col("body"), F.col("id")))
+    r = rows.select("id", rec.alias("r")).where("r is not null")
+    return r.select("id", "r.title", F.array_join("r.families", "|").alias("families"), F.array_join("r.years", "|").alias("years"), "r.record_volume", "r.record_page", "r.article_number", "r.record_doi", "r.pmid", "r.retracted")
+
+
+def lookup_addresses(spark, sf):
+    """Search and record addresses of listed entries, and the ids of searches (a DOI counts with a single hit only)."""
+    e = lookup.listed_fields(frame(spark, "entries"))
+    urls = e.select(F.col("ref_id").alias("id"), F.when(F.col("doi") != "", lookup.doi_url(F.col("doi"))).alias("by_doi"), lookup.pubmed_citation_url(F.col("key_surname"), F.col("volume"), F.col("first_page")).alias("by_citation"), F.lit(None).cast("string").alias("doi_ids"), F.lit(None).cast("string").alias("citation_ids"))
+    found = frame(spark, "searches").select("id", F.lit(None).cast("string"), F.lit(None).cast("string"), F.array_join(lookup.pubmed_ids(F.col("body"), True), "|"), F.array_join(lookup.pubmed_ids(F.col("body"), False), "|"))
+    return urls.unionAll(found)
+
+
+def _claims(spark) -> DataFrame:
+    return frame(spark, "claims").withColumn("citation_ids", F.split("ids", "\\|")).drop("ids")
+
+
+def _verdicts(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "claim_idx", F.array_join("citation_ids", "|").alias("citation_ids"), "label", "method", "quote_check", F.array_join("repaired_from", "|").alias("repaired_from"))
+
+
+def verify_claims_lexical(spark, sf):
+    """The whole cascade over answers with the lexical judge."""
+    return _verdicts(verify.verify_claims(_claims(spark).where("query_id = 1"), frame(spark, "contexts"), questions=frame(spark, "asked")))
+
+
+def verify_claims_panel(spark, sf):
+    """The whole cascade with two judges' votes: plan, hypothesis, certainty and echo rules."""
+    return _verdicts(verify.verify_claims(_claims(spark).where("query_id > 1"), frame(spark, "contexts"), frame(spark, "claim_votes"), 2, questions=frame(spark, "asked")))
+
+
+def verify_claims_nli(spark, sf):
+    """Without judges, where an entailment model has scores."""
+    return _verdicts(verify.verify_claims(_claims(spark).where("query_id = 1"), frame(spark, "contexts"), nli=frame(spark, "nli")))
+
+
+def question_records(spark, sf):
+    verdicts = verify.verify_claims(_claims(spark), frame(spark, "contexts"), frame(spark, "claim_votes"), 2, questions=frame(spark, "asked"))
+    item = F.concat_ws("|", F.col("query_id").cast("string"), F.col("claim_idx").cast("string"))
+    votes = frame(spark, "claim_votes").select(F.regexp_replace("item_id", "\\|[^|]*$", "").alias("item"), "judge", "label").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("judge", "label"))).alias("votes"))
+    verdicts = verdicts.withColumn("item", item).join(votes, "item", "left")
+    answers = _claims(spark).groupBy("query_id").agg(F.collect_list(F.struct("statement", "citation_ids", "quote")).alias("claims")).withColumns({"raw": F.lit("x"), "refused": F.lit(False), "parse_failed": F.lit(False), "misplaced_refusal": F.lit(False)})
+    return rejudge.question_records(answers, verdicts, frame(spark, "contexts")).drop("raw")
+
+
+def _arms(spark) -> DataFrame:
+    return frame(spark, "arms").withColumn("labels", F.filter(F.split("labels", "\\|"), lambda x: x != ""))
+
+
+def arm_summary(spark, sf):
+    return rejudge.arm_summary(_arms(spark))
+
+
+def arm_comparisons(spark, sf):
+    return rejudge.compare_arms(_arms(spark))
+
+
+def refusal_rates(spark, sf):
+    rows = _arms(spark).where("arm = 'grounded'")
+    return metrics.refusal_rates(rows.where("part = 'answer'"), rows.where("part = 'trap'"))
+
+
+def second_judgment(spark, sf):
+    claims = frame(spark, "judged_claims").withColumn("seen", F.split("seen", "\\|"))
+    out = rejudge.second_judgment(claims, frame(spark, "contexts"))
+    return out.select("claim_id", "old", "new", F.array_join("extra", "|").alias("extra"), "reason")
+
+
+def perturbation_rules(spark, sf):
+    """Every kind of change over sentences that allow some of them."""
+    rows = judging.perturbed(frame(spark, "changeable").withColumnRenamed("s", "sentence"))
+    return rows.select("item_id", "kind", "claim", "gold_label")
+
+
+def pdf_body_size(spark, sf):
+    return ingest.body_size(frame(spark, "pdf_lines"))
+
+
+def pdf_running_heads(spark, sf):
+    return ingest.running_heads(frame(spark, "pdf_lines"))
+
+
+def _pdf_blocks(spark) -> DataFrame:
+    lines = ingest.filter_lines(ingest.with_baselines(frame(spark, "pdf_lines")))
+    return ingest.classify_heading(ingest.blocks_of(lines).join(ingest.body_size(lines), "doc_id"))
+
+
+def pdf_baselines(spark, sf):
+    return ingest.with_baselines(frame(spark, "pdf_lines")).select("doc_id", "page", "block", "line", "baseline")
+
+
+def pdf_blocks(spark, sf):
+    return _pdf_blocks(spark).select("doc_id", "page", "block", "text", "n_lines", "number", "title", "level")
+
+
+def pdf_body(spark, sf):
+    """Body paragraphs under their sections, tables folded, and reference lines."""
+    order = Window.partitionBy("doc_id").orderBy("page", "block")
+    body = ingest.fold_body(_pdf_blocks(spark).withColumn("idx", F.row_number().over(order)))
+    prose = ingest.fold_tables(body.where("kind = 'body'"))
+    refs = body.where("kind = 'reference'").select("doc_id", "idx", "text", F.lit("References").alias("section"))
+    return prose.select("doc_id", "idx", "text", F.array_join("section_path", " > ").alias("section")).unionAll(refs)
+
+
+def pdf_references(spark, sf):
+    """Entries of page lines under the heading References, lines of one baseline joined first."""
+    lines = ingest.filter_lines(ingest.with_baselines(frame(spark, "pdf_lines")))
+    opened = ingest.classify_heading(ingest.blocks_of(lines).join(ingest.body_size(lines), "doc_id")).where("lower(title) = 'references'").groupBy("doc_id").agg(F.min(F.struct("page", "block")).alias("opened"))
+    after = ingest.merged_lines(lines.join(opened, "doc_id").where(F.struct("page", "block") > F.col("opened")))
+    order = Window.partitionBy("doc_id").orderBy("page", "block", "line")
+    return references.split_entries(after.withColumn("idx", F.row_number().over(order)))
+
+
+def heading_paths(spark, sf):
+    """Body paragraphs of styled lines under their open headings, of any level."""
+    rows = ingest.headings_to_paragraphs(frame(spark, "styled"))
+    return rows.select("doc_id", "idx", "text", F.array_join("section_path", " > ").alias("section_path"), "section_number")
+
+
+def chunks_with_citations(spark, sf):
+    """Section chunks of paragraphs with several paths, with the works that they cite and their pages."""
+    paras = frame(spark, "sectioned").withColumn("section_path", F.filter(F.split("path", "\\|"), lambda x: x != "")).drop("path")
+    chunks = chunking.with_citations(chunking.chunk_section(paras, DEFAULTS.with_(section_max=12, section_min=4)), references.parse_references(frame(spark, "refs")))
+    cited = F.transform("citations", lambda c: F.concat_ws(":", F.when(c["ref_id"] == "", "-").otherwise(c["ref_id"]), c["display"]))
+    return chunks.select("doc_id", "chunk_no", "para_start", "para_end", F.array_join("section_path", " > ").alias("section_path"), "section", "section_number", "page_start", "page_end", F.array_join(cited, ";").alias("citations"))
+
+
+def quote_levels(spark, sf):
+    """The four statuses of a quote, nearly equal ones too, over inline passages."""
+    return verify.quote_status(frame(spark, "near_quotes"), ["item_id"])
+
+
 _ALL = [
     paragraphs_split, sentence_counts, chunk_section, chunk_fixed, chunk_token_stats, bm25_term_stats, bm25_top20, dense_top20, dense_label_hit, rrf_fused_top20,
     hit_at_k_mrr, retrieval_misses, closest_k_plus_outside, flagship, quote_verbatim, quote_check_near, quote_repair, quote_span, lexical_label, claim_counts, precision_micro,
     trap_rollup, verify_statements, vote_aggregation, vote_correction, stage_verdict, best_label_early_stop, check_cost_sim, text_predicates, refusal_turns, passage_type,
     answer_parse, mock_answers, plan_and_zh_rules, wilson, mcnemar, kappa, fa_fr, fa_fr_by_type, panel_enumeration, dev_test_split, perturbations, last_vote_wins,
     resume_antijoin, guard_windows, references_parsed, citations_resolve, audit_author_year, audit_uncited, audit_numbered, ref_dup_ambiguous, edit_distance_join,
-    lookup_compare, lookup_summary,
+    lookup_compare, lookup_summary, listed_fields, lookup_records, lookup_addresses, verify_claims_lexical, verify_claims_panel, verify_claims_nli, question_records,
+    arm_summary, arm_comparisons, refusal_rates, second_judgment, perturbation_rules, pdf_body_size, pdf_running_heads, pdf_baselines, pdf_blocks, pdf_body, pdf_references, heading_paths, chunks_with_citations, quote_levels,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: later plans read it instead of growing. It lies in the folder that spark.checkpoint.dir names, or in one in
+    the warehouse where that is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return df.checkpoint()
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """A partition for each strategy replaces the earlier one."""
     chunks.write.mode("overwrite").partitionBy("strategy").parquet(path)
