@@ -18,6 +18,17 @@ _KEPT: dict[tuple[str, str], DataFrame] = {}
 _INDEXES: dict[tuple[str, str], retrieval.Bm25Index] = {}
 
 
+def release() -> None:
+    """Lets go of chunks and indexes that queries have kept."""
+    for df in _KEPT.values():
+        df.unpersist()
+    for index in _INDEXES.values():
+        for df in (index.posted, index.stats, index.terms):
+            df.unpersist()
+    _KEPT.clear()
+    _INDEXES.clear()
+
+
 # ---- ingest and chunks -------------------------------------------------------------------------------------------
 def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.paragraphs(table(spark, sf, "documents"))
@@ -120,10 +131,17 @@ def rrf_fused_top20(spark, sf):
 
 
 def _hits(spark, sf) -> DataFrame:
-    """First hits of the lexical top 10: a target is a paragraph that holds the item's first line."""
+    """First hits of the lexical top 10: a target is a paragraph that holds the item's first line (is it, for less than three words)."""
     lines = _questions(spark, sf).select("query_id", F.split("query", "\n")[0].alias("line")).where("length(line) > 0")
     chunks = _chunks(spark, sf)
-    targets = _paragraphs(spark, sf).join(F.broadcast(lines), F.col("text").contains(F.col("line"))).select("query_id", "doc_id", F.col("idx").alias("para"))
+    # a line's longest inner word stands whole in every paragraph that holds the line
+    words = F.split("line", " ")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    keyed = lines.withColumn("key", F.when(F.size(words) > 2, F.array_max(inner)["w"]))
+    paras = _paragraphs(spark, sf).select("doc_id", F.col("idx").alias("para"), "text")
+    held = paras.withColumn("key", F.explode(F.array_distinct(F.split("text", " ")))).join(keyed.where("key is not null"), "key").where(F.col("text").contains(F.col("line")))
+    equal = paras.join(keyed.where("key is null"), F.col("text") == F.col("line"))
+    targets = held.select("query_id", "doc_id", "para").unionAll(equal.select("query_id", "doc_id", "para"))
     ranked = retrieval.bm25_topk(_questions(spark, sf), _index(spark, sf), 10).join(chunks.select("ordinal", "doc_id", "para_start", "para_end"), "ordinal").withColumn("rank", F.col("sparse_rank") + 1)
     return retrieval.first_hit(ranked, targets)
 
@@ -152,7 +170,7 @@ def _passages(spark, sf, k: int = 5) -> DataFrame:
 
 def flagship(spark, sf):
     """Each benchmark passage with its five best chunks, and whether the chunk holds the passage word for word."""
-    rows = _passages(spark, sf).join(F.broadcast(_questions(spark, sf)), "query_id")
+    rows = _passages(spark, sf).join(_questions(spark, sf), "query_id")
     return rows.select("query_id", "position", "chunk_id", F.contains(T.quote_form(F.col("text")), T.quote_form(F.col("query"))).alias("verbatim"))
 
 

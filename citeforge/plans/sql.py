@@ -49,7 +49,7 @@ dense AS (SELECT q.id AS query_id, x.id, round(list_dot_product(q.v, x.v), 9) AS
 _HIT = "count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN hit_rank <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS hit_at_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / hit_rank, 0.0::DOUBLE)), 4) AS mrr"
 _HITS = f"""{_BM25},
 item AS (SELECT item_id AS query_id, string_split(text, chr(10))[1] AS line FROM benchmark),
-target AS (SELECT query_id, doc_id, idx AS para FROM item JOIN paras ON contains(paras.text, line) WHERE length(line) > 0),
+target AS (SELECT query_id, doc_id, idx AS para FROM item JOIN paras ON CASE WHEN len(string_split(line, ' ')) > 2 THEN contains(paras.text, line) ELSE paras.text = line END WHERE length(line) > 0),
 hits AS (SELECT t.query_id, min(CASE WHEN p.position < 10 AND t.para BETWEEN p.para_start AND p.para_end THEN p.position + 1 END) AS hit_rank FROM target t LEFT JOIN passages p ON p.query_id = t.query_id AND p.doc_id = t.doc_id GROUP BY t.query_id)"""
 
 

@@ -28,16 +28,18 @@ def guard_stream(samples: DataFrame, every: str = "60 seconds", late: str = "30
     return samples.withWatermark("ts", late).groupBy("host", w).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cpu"), 6).alias("cpu_mean"), F.max("ram_pct").alias("ram_top")).select("host", F.col("window.start").alias("start"), "n", "cpu_mean", "ram_top")
 
 
-def streaks_stream(samples: DataFrame, limit: float = 90.0, swap_limit: float = 2.0) -> DataFrame:
-    """Stateful: the run of RAM breaches and the growth of swap from a host's first sample, over micro-batches."""
+def streaks_stream(samples: DataFrame, limit: float = 90.0, swap_limit: float = 2.0, least_free: float = 0.0) -> DataFrame:
+    """Stateful: the run of breaches (RAM above the limit, or with a column free_gb less than `least_free` of it) and the growth of swap
+    from a host's first sample, over micro-batches."""
 
     def step(key, batches, state: GroupState):
         run, base = state.get if state.exists else (0, None)
-        for batch in batches:
+        rows = pd.concat(list(batches), ignore_index=True)  # a host's samples of one trigger, in order whatever their batches were
+        if len(rows):
             fired = []
-            for r in batch.sort_values(["ts", "seq"]).itertuples():
+            for r in rows.sort_values(["ts", "seq"]).itertuples():
                 base = float(r.swap_gb) if base is None else base
-                run = run + 1 if r.ram_pct > limit else 0
+                run = run + 1 if r.ram_pct > limit or getattr(r, "free_gb", least_free) < least_free else 0
                 fired.append((key[0], int(r.seq), run, float(r.swap_gb) - base, run >= 2 or r.swap_gb - base > swap_limit))
             yield pd.DataFrame(fired, columns=["host", "seq", "streak", "swap_growth", "fires"])
         state.update((run, base))
@@ -55,6 +57,11 @@ def last_records(log: DataFrame) -> DataFrame:
     return log.groupBy("run", "key").agg(F.max_by("record", "seq").alias("record"), F.max("seq").alias("seq"))
 
 
+def last_votes_stream(log: DataFrame) -> DataFrame:
+    """The last valid vote of each key of a stream of votes (key, label, seq), in update or complete mode."""
+    return log.where(F.col("label") != "unparsed").groupBy("key").agg(F.max_by("label", "seq").alias("label"))
+
+
 def append_once(stream: DataFrame, path: str, checkpoint: str, key: str = "key"):
     """Appends each key of a stream once: a batch is held against what the table has (so a repeated batch adds nothing)."""
 

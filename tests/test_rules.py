@@ -202,11 +202,38 @@ def test_logs_and_streams(spark, tmp_path):
 def test_transports(spark):
     prompts = spark.createDataFrame([(1, "hello\nthere")], "query_id int, prompt string")
     assert generation.complete(prompts, transports.mock()).first()["raw"] == "(mock) hello there"
-    urls, known = spark.createDataFrame([("http://a/x",), ("http://b/y",)], "url string"), spark.createDataFrame([("http://a/x", "old")], "url string, body string")
+    urls, known = spark.createDataFrame([("http://a/x",), ("http://b/y",)], "url string"), spark.createDataFrame([("http://a/x", 200, "old")], "url string, status int, body string")
     got = transports.fetch(urls, known, transports.http_json(0.0, get=lambda u: u.upper()))
     assert {r["url"]: r["body"] for r in got.collect()} == {"http://a/x": "old", "http://b/y": "HTTP://B/Y"}
 
 
+def test_failed_calls_are_rows(spark, tmp_path):
+    """Failures end no task and are not kept; what is known is not asked again."""
+    import urllib.error
+
+    def get(url):
+        if "gone" in url:
+            raise urllib.error.HTTPError(url, 404, "", None, None)
+        if "bad" in url:
+            raise urllib.error.HTTPError(url, 403, "", None, None)
+        return url.upper()
+
+    urls = spark.createDataFrame([("http://a/x",), ("http://a/gone",), ("http://b/bad",)], "url string")
+    path = str(tmp_path / "answers")
+    got = {r["url"]: (r["status"], r["body"]) for r in transports.fetch_and_keep(urls, path, transports.http_json(0.0, get=get), str.lower).collect()}
+    assert got == {"http://a/x": (200, "http://a/x"), "http://a/gone": (404, None)}
+    again = transports.fetch_and_keep(urls.where("url like '%a/%'"), path, transports.http_json(0.0, get=lambda u: 1 / 0)).count()
+    assert again == 2 and spark.read.parquet(path).count() == 2
+
+
+def test_translations(spark):
+    claims = spark.createDataFrame([(1, "河流彎曲"), (2, "Rivers bend"), (3, "燈亮")], "claim_idx int, statement string")
+    say = lambda: lambda texts: ["Rivers bend" if t == "河流彎曲" else None for t in texts]
+    got = {r["claim_idx"]: (r["statement"], r["original"]) for r in verify.translated(claims, say).collect()}
+    assert got == {1: ("Rivers bend", "河流彎曲"), 2: ("Rivers bend", "Rivers bend"), 3: ("燈亮", "燈亮")}
+    assert verify.available_judges(["a", "b"], lambda j: j == "b") == ["b"] and verify.available_judges(["a"], lambda j: j == "g", "g") == ["g"]
+
+
 def test_settings(tmp_path, monkeypatch):
     env = tmp_path / ".env"
     env.write_text("CITEFORGE_RRF_K=10\n# no\nCITEFORGE_PANEL_RULE='majority'\n")
