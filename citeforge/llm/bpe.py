@@ -5,6 +5,9 @@ from those results, which gives the ids of encoding the whole text, as byte-leve
 pre-tokens. Pre-tokens are found with a Latin-1 regular expression where a text has no other characters, and
 with the published pattern otherwise. The vocabulary's path is a parameter; nothing is trained or copied.
 
+A vocabulary is a file of the library (.json) or of ranks (.tiktoken); from ranks the library's model is built: each token of
+several bytes is the merge of the two that ranks before its own make of it.
+
 Byte-to-character mapping: byte-level vocabularies spell each byte as one printable character. `byte_table`
 is that mapping, read backwards for decoding; ids decode to bytes, so a character that is split over two ids
 is whole again once the bytes are joined (`decode_bytes`), and `decode_text` replaces only what is not UTF-8.
@@ -15,10 +18,12 @@ text; repeated rows give repeated results; texts are never cut.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +55,12 @@ def byte_table() -> dict[str, int]:
 class Pretokens(dict):
     """The ids of pre-tokens as little-endian bytes; those not held are encoded when asked for."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, spell):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.spell = tokenizer, spell
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids
+        ids = self.tokenizer.encode_batch_fast([self.spell(part)], add_special_tokens=False)[0].ids
         raw = struct.pack(f"<{len(ids)}I", *ids)
         if len(part) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
@@ -64,23 +69,53 @@ class Pretokens(dict):
         return raw
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and their ranks: a line for each, base64 and number."""
+    with open(path, "rb") as lines:  # a file of the Python environment that every executor has
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+
+
+def merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two parts that the ranks below its own leave of a token."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        pairs = [ranks.get(a + b, len(ranks) + 256) for a, b in zip(parts, parts[1:])]
+        at = min(range(len(pairs)), key=pairs.__getitem__)
+        if pairs[at] >= ranks[token]:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts[0], b"".join(parts[1:])
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; one per Python worker (`codec`)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.kept = Pretokens(self.tokenizer)
         table = byte_table()
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
+        if path.endswith(".tiktoken"):
+            ranks, char = read_ranks(path), {b: c for c, b in table.items()}
+            spelled = lambda raw: "".join(map(char.__getitem__, raw))
+            merges = [tuple(map(spelled, merge_of(t, ranks))) for t, _ in sorted(ranks.items(), key=lambda r: r[1]) if len(t) > 1]
+            # a pre-token that is itself a token is that token, whatever its merges
+            self.tokenizer = Tokenizer(models.BPE(vocab={spelled(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+            self.kept = Pretokens(self.tokenizer, lambda part: spelled(part.encode()))
+            self.bytes_of = [b""] * (max(ranks.values()) + 1)
+            for token, i in ranks.items():
+                self.bytes_of[i] = token
+        else:
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
+            self.kept = Pretokens(self.tokenizer, str)
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.bytes_of = [b""] * (max(vocab.values()) + 1)
+            for token, i in vocab.items():
+                self.bytes_of[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
+        self.sizes = np.array(list(map(len, self.bytes_of)), np.int64)
 
     def pretokens(self, text: str) -> list[str]:
         return (self.pattern if _NOT_LATIN1.search(text) else LATIN1).findall(text)
@@ -95,9 +130,11 @@ class Codec:
 
     def offsets(self, ids) -> np.ndarray:
         """Where each id's bytes begin in the text's UTF-8 bytes, and at last their number."""
-        return np.concatenate([[0], np.cumsum([len(self.bytes_of[i]) for i in ids])]).astype(np.int64)
+        return np.append(0, np.cumsum(self.sizes[np.asarray(ids, np.int64)]))
 
 
+#: Names that no table is likely to have.
+ENCODED, DECODED = "__citeforge_encoded", "__citeforge_decoded"
 _CODECS: dict[str, Codec] = {}
 
 
@@ -111,6 +148,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def with_ids(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """Adds `ids` (array<int>) and `byte_offsets` (array<long>, one more than ids) to every row."""
 
@@ -121,7 +162,7 @@ def with_ids(df: DataFrame, text: str = "text", path: str | None = None) -> Data
             ids = c.encode(texts.fillna("").tolist())
             yield pd.DataFrame({"ids": [i.astype(np.int32) for i in ids], "byte_offsets": [c.offsets(i.tolist()) for i in ids]})
 
-    return df.withColumn("_bpe", encode(F.col(text))).select(*[c for c in df.columns if c not in ("ids", "byte_offsets")], "_bpe.ids", "_bpe.byte_offsets")
+    return df.withColumn(ENCODED, encode(F.col(text))).select(*[c for c in df.columns if c not in ("ids", "byte_offsets")], f"{ENCODED}.ids", f"{ENCODED}.byte_offsets")
 
 
 def decode_text(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -134,22 +175,25 @@ def decode_text(df: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
             raw = [None if r is None else c.decode_bytes(list(r)) for r in rows]
             yield pd.DataFrame({"decoded_bytes": raw, "decoded": [None if r is None else r.decode("utf-8", "replace") for r in raw]})
 
-    return df.withColumn("_dec", decode(F.col(ids))).select(*[c for c in df.columns if c not in ("decoded_bytes", "decoded")], "_dec.decoded_bytes", "_dec.decoded")
+    return df.withColumn(DECODED, decode(F.col(ids))).select(*[c for c in df.columns if c not in ("decoded_bytes", "decoded")], f"{DECODED}.decoded_bytes", f"{DECODED}.decoded")
 
 
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded by the ranks, then decoded again; offsets_crc32 of the ids' byte
+    offsets (and the number of bytes at last) as little-endian 64-bit numbers, and n_inside, the ids that begin inside a character."""
 
-    @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string,offsets_crc32:long,n_inside:long>")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(path or default_path())
+        c = codec(path or ranks_path())
         names = [str(i) for i in range(len(c.bytes_of))]
         for texts in batches:
             rows = []
             for text in texts:
-                ids = c.encode([text or ""])[0].tolist()
-                said = " ".join(map(names.__getitem__, ids)).encode()
-                rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(c.decode_bytes(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select("doc_id", digest(F.col(text)).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+                ids = c.encode([text or ""])[0]
+                at, ids = c.offsets(ids), ids.tolist()
+                said, raw = " ".join(map(names.__getitem__, ids)).encode(), c.decode_bytes(ids)
+                inside = int((np.frombuffer(raw, np.uint8)[at[:-1]] & 0xC0 == 0x80).sum()) if ids else 0
+                rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(raw).hexdigest(), zlib.crc32(at.astype("<i8").tobytes()), inside))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32", "n_inside"])
+
+    return df.select("doc_id", digest(F.col(text)).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256", "d.offsets_crc32", "d.n_inside")

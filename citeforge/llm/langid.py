@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeforge.llm.common import is_training
@@ -194,13 +194,11 @@ def training_windows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return pd.DataFrame({"lang": [], "window": []})
-    # a hash bound lets about three times the rows wanted through, however large a language is; the rest is ordered
-    wanted = None
-    for r in sizes:
-        bound = int(min(1.0, 3 * per_language / r["count"]) * (1 << 30))
-        some = key.where((F.col("lang") == r["lang"]) & (F.col("h") < bound)).orderBy("h", "doc_id").limit(per_language).select("doc_id")
-        wanted = some if wanted is None else wanted.unionAll(some)
-    ids = [r["doc_id"] for r in wanted.distinct().collect()]  # at most MAX_LANGUAGES * per_language ids
+    # a hash bound lets about three times the rows wanted through, however large a language is; the rest is ranked, in one scan
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 3 * per_language / r["count"]) * (1 << 30))) for r in sizes], "lang string, bound long")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    wanted = key.join(F.broadcast(bounds), "lang").where("h < bound").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    ids = [r["doc_id"] for r in wanted.select("doc_id").distinct().collect()]  # at most MAX_LANGUAGES * per_language ids
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,12 +77,14 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(r.b), n
 
 def _license_sql() -> str:
     known = licenses.prepared()
-    wanted = ", ".join(f"('{t['template']}', '{t['license']}', '{s}', {len(t['shingles'])}, {t['need']}, {t['window']}, {t['stride']})" for t in known for s in t["shingles"])
-    return f"""WITH t(template, license, shingle, n, need, wide, stride) AS (VALUES {wanted}),
+    wanted = ", ".join(f"('{t['template']}', '{t['license']}', '{s}', {len(t['shingles'])}, {t['need']}, {t['window']}, {t['stride']}, {t['width']})" for t in known for s in t["shingles"])
+    widths = sorted({t["width"] for t in known})
+    shingles = " UNION ALL ".join(f"SELECT doc_id, {n} AS width, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS shingle, unnest(range(len(w) - {n - 1})) AS p FROM w WHERE len(w) >= {n}" for n in widths)
+    return f"""WITH t(template, license, shingle, n, need, wide, stride, width) AS (VALUES {wanted}),
 w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle, unnest(range(len(w) - 4)) AS p FROM w WHERE len(w) >= 5),
-h AS (SELECT doc_id, template, license, n, need, wide, stride, s.shingle, p FROM s JOIN t ON s.shingle = t.shingle),
-x AS (SELECT doc_id, template, license, n, need, s.start, count(DISTINCT shingle) AS hits FROM (SELECT *, unnest(range(greatest(0, (p + 5 - wide + stride - 1) // stride) * stride, p + 1, stride)) AS start FROM h) s GROUP BY doc_id, template, license, n, need, s.start)
+s AS ({shingles}),
+h AS (SELECT doc_id, template, license, n, need, wide, stride, t.width, s.shingle, p FROM s JOIN t ON s.shingle = t.shingle AND s.width = t.width),
+x AS (SELECT doc_id, template, license, n, need, s.start, count(DISTINCT shingle) AS hits FROM (SELECT *, unnest(range(greatest(0, (p + width - wide + stride - 1) // stride) * stride, p + 1, stride)) AS start FROM h) s GROUP BY doc_id, template, license, n, need, s.start)
 SELECT doc_id, template, license, max(hits)::BIGINT AS hits, n::BIGINT AS n_shingles, min(start)::BIGINT AS first_word FROM x WHERE hits >= need GROUP BY doc_id, template, license, n"""
 
 

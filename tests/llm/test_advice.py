@@ -27,6 +27,26 @@ def test_neighbours_in_a_crowd(spread):
         assert set(out[out.query_id == i].vec_id) == set(np.argsort(-found)[:5])
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_neighbours_of_many_tasks(spark, parts):
+    """The same neighbours however rows are dealt to tasks and queries to blocks; ties go to the smaller id."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24)).round(3)
+    x[1000:2000] = x[0] + 0.02 * rng.normal(size=(1000, 24)).round(2)
+    x[2500:2510] = x[50]
+    rows = ann.usable(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(parts))
+    books = ann.Codebooks.fit(ann._unit(x[:1500]), rounds=2)
+    index = ann.build_index(rows, books).cache()
+    got = {}
+    for r in ann.search(index, index.where("vec_id % 50 = 0").select("vec_id", "v"), books, query_block=25).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    u = ann._unit(x)
+    score = np.stack([ann.exact_cosine(np.broadcast_to(u[k], u.shape), u) for k in range(0, 3000, 50)])
+    for k, row in zip(range(0, 3000, 50), score):
+        row[k] = -2
+        assert [got[k][r] for r in range(1, 6)] == np.lexsort((np.arange(3000), -row))[:5].tolist()
+
+
 def _words(rng, n):
     return " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
 

@@ -117,6 +117,24 @@ def test_substring(docs, empty):
     assert counted(substring.clean(empty)) == []
 
 
+def test_licences_of_licence_length(spark):
+    """Whole licences with words left out and put in, twice, at both ends; below four fifths nothing is found."""
+    words = {t["template"]: licenses.words_of(n) for t, (_, _, n) in zip(licenses.prepared(), licenses.TEMPLATES)}
+    mit, bsd = words["mit-text"], words["bsd-2-text"]
+    rows = [
+        (1, "a b " + " ".join(mit)),
+        (2, " ".join(bsd) + " tail " + " ".join(bsd)),
+        (3, " ".join(mit[:60] + ["put", "in"] + mit[60:100] + mit[103:])),
+        (4, " ".join(w if k % 9 else "x" for k, w in enumerate(mit))),
+        (5, "All Rights, Reserved!"),
+        (5, "All Rights, Reserved!"),
+        (6, " ".join(["word"] * 20000 + mit)),
+    ]
+    got = {(r["doc_id"], r["template"]) for r in counted(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert {(1, "mit-text"), (2, "bsd-2-text"), (3, "mit-text"), (5, "rights-reserved"), (6, "mit-text")} <= got
+    assert (4, "mit-text") not in got and len([x for x in got if x[0] == 5]) == 1
+
+
 def test_licenses(docs, empty):
     got = counted(licenses.scan(docs))
     assert [(r["doc_id"], r["template"]) for r in got] == [(10, "cc-by-nc-notice")]

@@ -112,6 +112,10 @@ def test_bpe_like_tiktoken(docs, result):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((d["text"] or "").encode()).hexdigest()
+        pieces = [enc.decode_single_token_bytes(i) for i in ids]
+        offsets = np.cumsum([0, *map(len, pieces)]).astype("<i8")
+        assert r.offsets_crc32 == zlib.crc32(offsets.tobytes())
+        assert r.n_inside == sum(p[0] & 0xC0 == 0x80 for p in pieces)
 
 
 def test_sharding(docs, result):
@@ -226,7 +230,7 @@ def test_licenses(docs, result):
             best = None
             for start in range(0, max(1, len(words)), t["stride"]):
                 part = words[start : start + t["window"]]
-                hits = len(wanted & {" ".join(part[k : k + 5]) for k in range(len(part) - 4)})
+                hits = len(wanted & {" ".join(part[k : k + t["width"]]) for k in range(len(part) - t["width"] + 1)})
                 if hits >= t["need"]:
                     best = (max(hits, best[0]) if best else hits, best[1] if best else start)
             if best:
