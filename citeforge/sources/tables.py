@@ -65,6 +65,19 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def retire_log(spark: SparkSession, path: str, run: str, limited: bool = False) -> str | None:
+    """A finished run's log gets a name of its own; runs that were limited keep theirs. The new name, or null."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.done-{run}")
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return new.toString() if not limited and fs.exists(old) and fs.rename(old, new) else None
+
+
+def last_records(spark: SparkSession, path: str, schema: str, run: str) -> DataFrame:
+    """The last record of each key of one run in an append-only log of JSON lines (run, key, seq, record)."""
+    return read_log(spark, path, schema, run).groupBy("key").agg(F.max_by("record", "seq").alias("record"))
+
+
 def write_embeddings(vectors: DataFrame, path: str) -> None:
     """id, vector, model, strategy: a partition for each model and strategy."""
     vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "strategy").parquet(path)

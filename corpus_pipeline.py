@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citeforge.llm import langid, neardup, packing, quality, substring
-from citeforge.llm.common import durable
+from citeforge.llm.common import Durable
 
 
 def _batches(spark: SparkSession) -> None:
@@ -44,13 +44,16 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
 
-#: Stages with a trained network and a tokenizer are not SQL; tests hold run() against brute force.
+#: Stages with a trained network and a tokenizer are not SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each result is written as Parquet and read again, and goes once the next one stands."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        now = Durable(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            held.drop()
+        docs, held = now.df, now
     return docs
