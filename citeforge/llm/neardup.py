@@ -50,8 +50,13 @@ BLOCK = 1024
 FINE, SMALL, LONG = 512, 1024, 8192
 #: Shingle sets that a worker keeps while it confirms pairs.
 KEPT_SETS = 4096
-#: Node ids that may be broadcast to pick texts; more are joined by shuffle.
+#: Ids that may be broadcast to pick texts. More go to the texts as a bitmap of their hashes; only texts that it lets pass are shuffled.
 BROADCAST_NODES = 500_000
+#: Bits of that bitmap an id, and of the whole bitmap at most (128 MB; a fuller one lets more texts pass).
+ID_BITS, MOST_BITS = 16, 1 << 30
+
+#: Names that no table is likely to have.
+GONE, MAY = "__citeforge_gone", "__citeforge_may"
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -288,6 +293,21 @@ def _single(width: int):
     return of
 
 
+def _marked(df: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows with MAY: true where `key` is one of the n ids, and for about one in ID_BITS others; never null."""
+    part, bit, bits = (f"{MAY}_{c}" for c in ("part", "bit", "bits"))
+    size = min(ID_BITS * n, MOST_BITS)
+
+    def placed(rows: DataFrame, column: str) -> DataFrame:
+        h = F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size)))
+        return rows.withColumn(bit, h).withColumn(part, F.shiftright(bit, 15)).withColumn(bit, F.col(bit).bitwiseAND(32767))  # bitmaps of 32,768 bits
+
+    held = placed(ids, ids.columns[0]).select(part, bit).repartition(part).groupBy(part).agg(F.bitmap_construct_agg(bit).alias(bits))
+    met = placed(df, key).join(F.broadcast(held), part, "left")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn(MAY, F.coalesce(F.getbit(byte, F.col(bit).bitwiseAND(7).cast("int")) == 1, F.lit(False))).select(*df.columns, MAY)
+
+
 class NearDuplicates:
     """One run over a table of documents; `result` is the whole answer."""
 
@@ -335,9 +355,11 @@ class NearDuplicates:
         return answer.df
 
     def _texts(self, nodes: DataFrame, n: int) -> DataFrame:
-        """node, text of some nodes; the ids go to the texts while they are few."""
+        """node, text of some nodes; the ids go to the texts, or a bitmap of them."""
         docs = self.docs.where("text is not null").withColumnRenamed("doc_id", "node")
-        return docs.join(F.broadcast(nodes) if n <= BROADCAST_NODES else nodes, "node", "left_semi")
+        if n <= BROADCAST_NODES:
+            return docs.join(F.broadcast(nodes), "node", "left_semi")
+        return _marked(docs, "node", nodes, n).where(MAY).drop(MAY).join(nodes, "node", "left_semi")
 
     def _confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose full sets reach the threshold."""
@@ -420,5 +442,10 @@ def link(docs: DataFrame, **options) -> DataFrame:
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """One document of each group stays (that of the smallest id; rows that share its id are one document)."""
-    gone = link(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__citeforge_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__citeforge_gone"], "left_anti")
+    held = Durable(link(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(GONE)).distinct(), "gone")
+    gone = held.df
+    if held.rows <= BROADCAST_NODES:
+        return docs.join(F.broadcast(gone), F.col("doc_id") == F.col(GONE), "left_anti")
+    marked = _marked(docs, "doc_id", gone, held.rows)
+    stay = marked.where(~F.col(MAY)).unionAll(marked.where(MAY).join(gone, F.col("doc_id") == F.col(GONE), "left_anti"))
+    return stay.drop(MAY)

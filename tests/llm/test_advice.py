@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from citeforge.llm import ann, langid, quality, substring
+from citeforge.llm import ann, langid, neardup, quality, substring
 
 
 @pytest.mark.parametrize("spread", [0.005, 0.1])
@@ -175,3 +175,46 @@ def test_language_bounds(spark):
     many = spark.createDataFrame([(k, "some words", f"l{k // 8}") for k in range(8 * (langid.MAX_LANGUAGES + 1))], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         langid.training_windows(many)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Spark broadcasts only what it is told to, as with large tables."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _copies(spark):
+    """Texts of which some are near copies under other ids; null, negative and shared ids."""
+    rng = np.random.default_rng(9)
+    rows = [(k - 20, _words(rng, 60)) for k in range(200)]
+    rows += [(1000 + k, t + " more") for k, t in rows[::5]] + [(None, rows[0][1]), (3, rows[7][1]), (5000, ""), (5001, None)]
+    return spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+
+
+def test_kept_documents_are_not_shuffled(spark, no_broadcast):
+    plan = neardup.keep(_copies(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("most", [1 << 30, 64])
+def test_more_ids_than_a_broadcast_takes(spark, no_broadcast, monkeypatch, most):
+    docs = _copies(spark)
+    rows = lambda df: sorted(map(str, df.collect()))
+    links, kept = rows(neardup.link(docs)), rows(neardup.keep(docs))
+    assert len(kept) == docs.count() - 42  # 40 near copies, and both rows of an id of which one is a copy
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", 0)
+    monkeypatch.setattr(neardup, "MOST_BITS", most)
+    assert rows(neardup.link(docs)) == links and rows(neardup.keep(docs)) == kept
+
+
+def test_bitmap_of_ids(spark):
+    ids = spark.range(-30_000, 30_000, 3).withColumnRenamed("id", "x")
+    docs = spark.range(-60_000, 60_000).unionAll(spark.sql("select cast(null as long)"))
+    seen = neardup._marked(docs, "id", ids, 20_000).collect()
+    among = {r.id: r[neardup.MAY] for r in seen}
+    assert len(seen) == len(among) == 120_001 and among[None] is False
+    assert all(among[k] for k in range(-30_000, 30_000, 3))  # none of the ids is missed
+    assert sum(among.values()) - 20_000 < 0.08 * 100_000  # and few others pass
