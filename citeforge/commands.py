@@ -1,7 +1,7 @@
 """The engine's commands: build a store, ask it, check sentences against it, evaluate it, and make and score judge items.
 
 `python -m citeforge.commands build DOCUMENTS STORE`, and so on (`--help`). A store is a folder of Parquet tables: chunks by strategy,
-the lexical index (postings, terms, stats), vectors by model and strategy. Models are transports; without one, stand-ins answer.
+the lexical index (terms of chunks, term weights, stats), vectors by model and strategy. Models are transports; without one, stand-ins answer.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def encode_texts(rows: DataFrame, key: str, text: str, role: str = "passage", mo
 # ---- build -------------------------------------------------------------------------------------------------------
 def build(spark: SparkSession, documents: str, store: str, s: Settings = DEFAULTS) -> None:
     """documents: a Parquet table (doc_id, text, source). Each strategy's tables replace the earlier ones."""
-    paras = ingest.paragraphs(spark.read.parquet(documents).where("text is not null"))
+    rows = ingest.whole_documents(spark.read.parquet(documents))
     for strategy, cut in chunking.STRATEGIES.items():
-        chunks = retrieval.with_ordinals(cut(paras, s))
+        chunks = retrieval.with_ordinals(cut(rows, s))
         place = f"{store}/{strategy}"
         chunks.write.mode("overwrite").parquet(f"{place}/chunks")
         kept = spark.read.parquet(f"{place}/chunks")

@@ -90,19 +90,26 @@ def hashed_embedding(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def greedy_chunks(limit: int):
-    """A UDF from a document's ordered paragraph sizes, and whether each begins a new path, to chunk numbers."""
+def section_windows(limit: int, least: int):
+    """A UDF from a document's ordered paragraph sizes, and whether each begins a new path, to windows [begin, end) as alternating numbers.
+
+    A window takes paragraphs of one path up to `limit`; the last one of a path, if it has less than `least`, joins the one before it.
+    """
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def pack(tokens: pd.Series, fresh: pd.Series) -> pd.Series:
         def one(sizes, starts):
-            out, no, held = [], -1, 0
-            for t, new in zip(sizes, starts):
-                if no < 0 or new or held + t > limit and held > 0:
-                    no, held = no + 1, 0
-                held += t
-                out.append(no)
-            return out
+            begins, held, paths, path = [], [], [], 0
+            for k, (t, new) in enumerate(zip(sizes, starts)):
+                path += bool(new)
+                if not begins or new or held[-1] + t > limit and held[-1] > 0:
+                    begins.append(k)
+                    held.append(0)
+                    paths.append(path)
+                held[-1] += t
+            paths.append(None)
+            kept = [b for c, b in enumerate(begins) if not (held[c] < least and paths[c + 1] != paths[c] and c > 0 and paths[c - 1] == paths[c])]
+            return [x for w in zip(kept, [*kept[1:], len(sizes)]) for x in w]
 
         return pd.Series([one(a, b) for a, b in zip(tokens, fresh)], dtype=object)
 

@@ -1,12 +1,13 @@
 """Paragraphs to chunks: section-aware packing and fixed sliding windows.
 
-Packing is sequential inside a document: a document's ordered paragraph sizes (a short array of numbers, never its texts)
-go to Python in Arrow batches and come back as chunk numbers. Documents are independent and spread over the cluster.
+Chunks are cut inside a row that holds a document's ordered paragraphs, so texts are not shuffled where documents come as one row each.
+Packing is sequential: a document's paragraph sizes (a short array of numbers, never its texts) go to Python in Arrow batches and come
+back as windows of paragraphs. Documents are independent and spread over the cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeforge.config import DEFAULTS, Settings
@@ -14,48 +15,23 @@ from citeforge.functions import matching
 from citeforge.functions import text as T
 
 
-def _with_words(paras: DataFrame) -> DataFrame:
-    return paras.withColumn("n_words", F.size(T.words(F.col("text"))))
-
-
-def assign_sections(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Adds chunk_no: paragraphs of one path are packed greedily up to `section_max` tokens; a last chunk of a path with
-    fewer than `section_min` joins the one before it."""
-    rows = _with_words(paras).withColumn("tokens", T.est_tokens(F.col("n_words"), s.tokens_per_word))
-    by_doc = Window.partitionBy("doc_id").orderBy("idx")
-    new_path = F.coalesce(F.array_join("section_path", "\u0001") != F.lag(F.array_join("section_path", "\u0001")).over(by_doc), F.lit(True))
-    rows = rows.withColumn("new_path", new_path)
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tokens", "new_path"))).alias("p"))
-    numbers = matching.greedy_chunks(s.section_max)(F.col("p.tokens"), F.col("p.new_path"))
-    packed = ordered.select("doc_id", F.explode(F.arrays_zip(F.col("p.idx").alias("idx"), numbers.alias("c"))).alias("x")).select("doc_id", "x.idx", F.col("x.c").alias("raw_no"))
-    rows = rows.join(packed, ["doc_id", "idx"])
-    path_no = F.sum(F.col("new_path").cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("path_no", path_no)
-    sizes = rows.groupBy("doc_id", "raw_no").agg(F.sum("tokens").alias("t"), F.min("path_no").alias("path_no"))
-    by_chunk = Window.partitionBy("doc_id").orderBy("raw_no")
-    tail = (F.col("t") < s.section_min) & (F.coalesce(F.lead("path_no").over(by_chunk), F.lit(-1)) != F.col("path_no")) & (F.lag("path_no").over(by_chunk) == F.col("path_no"))
-    sizes = sizes.withColumn("joins", F.coalesce(tail, F.lit(False)))
-    sizes = sizes.withColumn("chunk_no", (F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(by_chunk) - 1).cast("int"))
-    return rows.join(sizes.select("doc_id", "raw_no", "chunk_no"), ["doc_id", "raw_no"]).drop("raw_no", "path_no", "new_path")
-
-
-def assign_fixed(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """A row for each paragraph and window that holds it: windows take paragraphs until they have `fixed_tokens`, then step
-    back over at least `fixed_overlap` tokens, and always move on."""
-    rows = _with_words(paras).withColumn("tokens", T.est_tokens(F.col("n_words"), s.tokens_per_word))
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tokens"))).alias("p"))
-    spans = ordered.withColumn("w", matching.sliding_windows(s.fixed_tokens, s.fixed_overlap)(F.col("p.tokens")))
-    x = F.transform(F.sequence(F.lit(0), F.size("w") - 2, F.lit(2)), lambda k: F.struct(F.get("w", k).alias("i"), F.get("w", k + 1).alias("j")))
-    spans = spans.where(F.size("w") > 0).select("doc_id", "p", F.posexplode(x).alias("chunk_no", "x"))
-    inside = spans.select("doc_id", "chunk_no", F.explode(F.slice("p", F.col("x.i") + 1, F.col("x.j") - F.col("x.i"))).alias("q")).select("doc_id", "chunk_no", F.col("q.idx").alias("idx"))
-    return inside.join(rows, ["doc_id", "idx"])
-
-
-def materialise(assigned: DataFrame, strategy: str, s: Settings = DEFAULTS) -> DataFrame:
-    """One row a chunk: text in order, span, words, tokens, and the last paragraph's section."""
-    page = F.coalesce("page", F.lit(0)) if "page" in assigned.columns else F.lit(0)
-    row = F.array_sort(F.collect_list(F.struct("idx", "text", "section_path", "section_number", page.alias("page"))))
-    out = assigned.groupBy("doc_id", "chunk_no").agg(row.alias("r"), F.sum("n_words").cast("int").alias("n_words"))
+def by_document(paras: DataFrame) -> DataFrame:
+    """doc_id, p: a document's paragraphs in order, with their words counted; the texts are shuffled once."""
+    page = F.coalesce("page", F.lit(0)) if "page" in paras.columns else F.lit(0)
+    row = F.struct("idx", "text", "section_path", "section_number", page.alias("page"), F.size(T.words(F.col("text"))).alias("n_words"))
+    return paras.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("p"))
+
+
+def _tokens(s: Settings):
+    return F.transform("p", lambda x: T.est_tokens(x["n_words"], s.tokens_per_word))
+
+
+def _cut(rows: DataFrame, windows, strategy: str, s: Settings) -> DataFrame:
+    """One row a chunk: text in order, span, words, tokens, and the last paragraph's section. windows: [begin, end) as alternating numbers."""
+    parts = F.transform(F.sequence(F.lit(0), F.size("w") - 2, F.lit(2)), lambda k: F.slice("p", F.get("w", k) + 1, F.get("w", k + 1) - F.get("w", k)))
+    # no filter on `w`: it would be pushed below the arrays that `w` comes from, and each of their elements would make them anew
+    out = rows.withColumn("w", windows).select("doc_id", F.posexplode(F.when(F.size("w") > 0, parts)).alias("chunk_no", "r"))
+    out = out.withColumn("n_words", F.aggregate("r", F.lit(0), lambda n, x: n + x["n_words"]))
     last = F.element_at("r", -1)
     return out.select(
         "doc_id",
@@ -75,6 +51,20 @@ def materialise(assigned: DataFrame, strategy: str, s: Settings = DEFAULTS) -> D
     )
 
 
+def cut_sections(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Paragraphs of one path are packed greedily up to `section_max` tokens; a last chunk of a path with fewer than `section_min`
+    joins the one before it."""
+    path = F.transform("p", lambda x: F.array_join(x["section_path"], "\u0001"))
+    rows = rows.withColumn("path", path)
+    fresh = F.transform("path", lambda x, k: F.coalesce(x != F.get("path", k - 1), F.lit(True)))
+    return _cut(rows, matching.section_windows(s.section_max, s.section_min)(_tokens(s), fresh), "section", s)
+
+
+def cut_fixed(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Windows take paragraphs until they have `fixed_tokens`, then step back over at least `fixed_overlap` tokens, and always move on."""
+    return _cut(rows, matching.sliding_windows(s.fixed_tokens, s.fixed_overlap)(_tokens(s)), "fixed", s)
+
+
 def with_citations(chunks: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds citations: the distinct works that a chunk's text cites (ref_id, display, resolved), in the order of their first mention."""
     from citeforge.operators.references import extract_citations
@@ -87,11 +77,12 @@ def with_citations(chunks: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def chunk_section(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    return materialise(assign_sections(paras, s), "section", s)
+    return cut_sections(by_document(paras), s)
 
 
 def chunk_fixed(paras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    return materialise(assign_fixed(paras, s), "fixed", s)
+    return cut_fixed(by_document(paras), s)
 
 
-STRATEGIES = {"section": chunk_section, "fixed": chunk_fixed}
+#: From one row a document (`by_document`, `ingest.whole_documents`) to chunks.
+STRATEGIES = {"section": cut_sections, "fixed": cut_fixed}
